@@ -45,13 +45,15 @@ class OrderedBlocks:
     ``MAX_BLOCKS`` (beyond which blocks grow).
     """
 
-    def __init__(self, df: DataFrame, place: list[str], ties: list[str], rows_per_block: int = ROWS_PER_BLOCK):
+    def __init__(self, df: DataFrame, place: list[str], ties: list[str], keep: list[str] | None = None, rows_per_block: int = ROWS_PER_BLOCK):
         rows = df.count()
         # the parallelism of the session for a small table, but no block under a few thousand rows
         n = min(MAX_BLOCKS, max(math.ceil(rows / rows_per_block), min(shuffle_partitions(df), math.ceil(rows / 4000)), 1))
-        self.columns = df.columns
+        self.columns = keep or df.columns
         self.data = reliable(
-            df.repartitionByRange(n, *place).sortWithinPartitions(*place, *ties).withColumn(BLOCK, F.spark_partition_id())
+            df.repartitionByRange(n, *place)
+            .sortWithinPartitions(*place, *ties)
+            .select(*self.columns, F.spark_partition_id().alias(BLOCK))
         )
 
     def reports(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> pd.DataFrame:
