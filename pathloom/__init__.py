@@ -1,3 +1,10 @@
 """Trajectory analytics on Spark: DataFrame-in, DataFrame-out operators over GPS point tables."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# kernels travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

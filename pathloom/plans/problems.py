@@ -5,14 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pathloom.operators.rolling import trailing_totals
+from pathloom.operators.spikes import implausible
 from pathloom.operators.stops import stops_and_trips
+from pathloom.operators.tree import tree_profile
+
+CAR_BOUNDS = {"Speed": (0.0, 100.0), "Acceleration": (-30.0, 30.0), "lat": (-90.0, 90.0)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible(table(spark, sf_dir, "car_features"), CAR_BOUNDS)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_spikes(spark, sf_dir).select("row_id", "field")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops_and_trips(table(spark, sf_dir, "animal_points")).select("traj_id", "kind", "start_at", "end_at")
 
@@ -21,11 +35,55 @@ def p4_stops_and_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops_and_trips(table(spark, sf_dir, "animal_points"))
 
 
+def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trailing_totals(table(spark, sf_dir, "ship_legs"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = lambda n: F.round(f"total_{n}").cast("long").alias(f"metres_{n}")
+    return p5_rolling(spark, sf_dir).select("traj_id", F.date_format("day", "yyyy-MM-dd").alias("day"), whole(7), whole(30))
+
+
+def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_profile(table(spark, sf_dir, "animal_points"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "animal_points")
+    rows = df.count()
+    return tree_profile(df, rows=rows).where(F.col("traj_id").isNotNull() & (F.col("n_rows") * 100 >= rows)).select("traj_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        p2_found,
+        p2_spikes,
         p4_found,
         p4_stops_and_trips,
+        p5_found,
+        p5_rolling,
+        p7_found,
+        p7_profile,
     )
 }
-ORACLES: dict[str, str] = {}
+_DAILY = """
+WITH once AS (
+  SELECT DISTINCT traj_id, DateTime, CASE WHEN isnan(Distance) THEN NULL ELSE Distance END AS v
+  FROM ship_legs WHERE traj_id IS NOT NULL AND DateTime IS NOT NULL),
+daily AS (SELECT traj_id, CAST(DateTime AS DATE) AS d, coalesce(sum(v), 0) AS x FROM once GROUP BY ALL),
+span AS (SELECT traj_id, min(d) AS a, max(d) AS z FROM daily GROUP BY traj_id),
+days AS (SELECT traj_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
+full_days AS (SELECT days.traj_id, day, coalesce(x, 0) AS x FROM days LEFT JOIN daily ON daily.traj_id = days.traj_id AND d = day),
+rolled AS (
+  SELECT traj_id, day,
+    sum(x) OVER (PARTITION BY traj_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS t7,
+    sum(x) OVER (PARTITION BY traj_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS t30
+  FROM full_days)
+"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": _DAILY + "SELECT traj_id, strftime(day, '%Y-%m-%d') AS day, CAST(t7 AS BIGINT) AS metres_7, CAST(t30 AS BIGINT) AS metres_30 FROM rolled",
+    "p5_rolling": _DAILY + "SELECT traj_id, day, t7 AS total_7, t7 / 7 AS mean_7, t30 AS total_30, t30 / 30 AS mean_30 FROM rolled",
+    "p7_found": "SELECT traj_id FROM animal_points WHERE traj_id IS NOT NULL GROUP BY traj_id HAVING count(*) * 100 >= (SELECT count(*) FROM animal_points)",
+}
