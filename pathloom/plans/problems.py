@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators.rolling import trailing_totals
+from pathloom.operators.spatial import near_and_inside
 from pathloom.operators.spikes import implausible
 from pathloom.operators.stops import stops_and_trips
 from pathloom.operators.tree import tree_profile
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_and_inside(table(spark, sf_dir, "geolife_points"), table(spark, sf_dir, "habitat"))
+
+
 def p2_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible(table(spark, sf_dir, "car_features"), CAR_BOUNDS)
 
@@ -57,6 +62,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        p1_found,
         p2_found,
         p2_spikes,
         p4_found,
