@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.operators.regrid import regular_grid
 from pathloom.operators.rolling import trailing_totals
 from pathloom.operators.spatial import near_and_inside
 from pathloom.operators.spikes import implausible
@@ -49,6 +50,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_rolling(spark, sf_dir).select("traj_id", F.date_format("day", "yyyy-MM-dd").alias("day"), whole(7), whole(30))
 
 
+def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regular_grid(table(spark, sf_dir, "storm_readings"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_grid(spark, sf_dir).where("missing").select("traj_id", "slot")
+
+
 def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_profile(table(spark, sf_dir, "animal_points"))
 
@@ -69,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p4_stops_and_trips,
         p5_found,
         p5_rolling,
+        p6_found,
+        p6_grid,
         p7_found,
         p7_profile,
     )
@@ -91,5 +102,11 @@ rolled AS (
 ORACLES: dict[str, str] = {
     "p5_found": _DAILY + "SELECT traj_id, strftime(day, '%Y-%m-%d') AS day, CAST(t7 AS BIGINT) AS metres_7, CAST(t30 AS BIGINT) AS metres_30 FROM rolled",
     "p5_rolling": _DAILY + "SELECT traj_id, day, t7 AS total_7, t7 / 7 AS mean_7, t30 AS total_30, t30 / 30 AS mean_30 FROM rolled",
+    "p6_found": """
+WITH slots AS (
+  SELECT DISTINCT traj_id, time_bucket(INTERVAL 6 HOUR, DateTime, TIMESTAMP '1970-01-01') AS s FROM storm_readings
+  WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon) AND traj_id IS NOT NULL AND DateTime IS NOT NULL),
+grid AS (SELECT traj_id, unnest(generate_series(min(s), max(s), INTERVAL 6 HOUR)) AS s FROM slots GROUP BY traj_id)
+SELECT traj_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS slot FROM grid ANTI JOIN slots USING (traj_id, s)""",
     "p7_found": "SELECT traj_id FROM animal_points WHERE traj_id IS NOT NULL GROUP BY traj_id HAVING count(*) * 100 >= (SELECT count(*) FROM animal_points)",
 }
