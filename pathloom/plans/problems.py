@@ -12,6 +12,7 @@ from pathloom.operators.rolling import trailing_totals
 from pathloom.operators.spatial import near_and_inside
 from pathloom.operators.spikes import implausible
 from pathloom.operators.stops import stops_and_trips
+from pathloom.operators.timestamps import normalise_timestamps
 from pathloom.operators.tree import tree_profile
 
 CAR_BOUNDS = {"Speed": (0.0, 100.0), "Acceleration": (-30.0, 30.0), "lat": (-90.0, 90.0)}
@@ -33,6 +34,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_spikes(spark, sf_dir).select("row_id", "field")
 
 
+def p3_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise_timestamps(table(spark, sf_dir, "seagull_fixes"), table(spark, sf_dir, "stations"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(utc_us / 1000000 AS decimal(18, 6)))")
+    return p3_utc(spark, sf_dir).where(F.col("utc_us").isNotNull()).select("fix_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("utc"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops_and_trips(table(spark, sf_dir, "animal_points")).select("traj_id", "kind", "start_at", "end_at")
 
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p1_found,
         p2_found,
         p2_spikes,
+        p3_found,
+        p3_utc,
         p4_found,
         p4_stops_and_trips,
         p5_found,
