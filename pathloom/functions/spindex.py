@@ -97,7 +97,7 @@ class Quadtree:
     def overlaps(self, x0, y0, x1, y1) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (box, cell) that meet."""
         q, node = np.arange(len(x0)), np.zeros(len(x0), int)
-        got_q, got_c = [], []
+        got_q, got_c = [q[:0]], [node[:0]]
         while len(q):
             hit = (self.x0[node] <= x1[q]) & (self.x1[node] >= x0[q]) & (self.y0[node] <= y1[q]) & (self.y1[node] >= y0[q])
             q, node = q[hit], node[hit]
