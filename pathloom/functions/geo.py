@@ -24,7 +24,7 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance in metres; null if any coordinate is null."""
     p1, l1, p2, l2 = (F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin((l2 - l1) / 2), 2)
-    a = F.least(a, F.lit(1.0))
+    a = F.when(a > 1.0, 1.0).otherwise(a)  # unlike least(), null stays null
     return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a)) * 1000.0
 
 

@@ -17,7 +17,7 @@ import duckdb
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else (0.0 if v == 0 else float(f"{v:.10g}"))
+        return None if math.isnan(v) else (0.0 if v == 0 else float(f"{v:.14g}"))
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, (datetime.date, datetime.timedelta)):
