@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 40
-SAMPLE_DOCS = 400  # bound of the sample that reaches the driver for ordering the rules
+SAMPLE_DOCS = 400  # bound of the sample on which the rules are measured
 _OTHER = re.compile(r"[\W_]+")
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -103,24 +103,40 @@ def rules(span: int = SPAN) -> dict[str, Callable[[str, float], bool]]:
     return {"short": _too_short(span)} | {f"grams_{g}": _few_repeats(g, span) for g in (8, 16, 24) if g < span}
 
 
-def order_rules(sample: list[str], at_least: float, span: int = SPAN) -> list[str]:
-    """Rule names by rejections per second, each measured on what the rules before it leave over; rules that reject
-    nothing more are dropped."""
-    left, todo, out = [reduce_text(t) for t in sample], dict(rules(span)), []
+def order_rules(measured: list[list[tuple[float, bool]]], names: list[str]) -> list[str]:
+    """Rule names by rejections per second among what the rules before them leave over. ``measured``: for each sampled
+    text, (seconds, rejects) of each rule. Rules that reject nothing more are dropped."""
+    left, todo, out = measured, dict(enumerate(names)), []
     while left and todo:
-        best = None
-        for name, rule in todo.items():
-            t = time.perf_counter()
-            hit = [rule(s, at_least) for s in left]
-            cost = time.perf_counter() - t
-            if (rate := sum(hit) / max(cost, 1e-9)) > (best[0] if best else 0):
-                best = (rate, name, hit)
-        if best is None:
+        rate = {i: sum(m[i][1] for m in left) / max(sum(m[i][0] for m in left), 1e-9) for i in todo}
+        best = max(rate, key=rate.get)
+        if rate[best] <= 0:
             break
-        out.append(best[1])
-        del todo[best[1]]
-        left = [s for s, h in zip(left, best[2]) if not h]
-    return out or ["short"]
+        out.append(todo.pop(best))
+        left = [m for m in left if not m[best][1]]
+    return out or names[:1]
+
+
+def _measure(rows: DataFrame, at_least: float, span: int) -> list[str]:
+    """The order of the rules, from whole texts of a bounded sample; only times and verdicts reach the driver."""
+    named = rules(span)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = []
+            for t in d["text"]:
+                s, times, hits = reduce_text(t), [], []
+                for rule in named.values():
+                    begun = time.perf_counter()
+                    hits.append(bool(rule(s, at_least)))
+                    times.append(time.perf_counter() - begun)
+                out.append((times, hits))
+            yield pd.DataFrame(out, columns=["seconds", "hits"])
+
+    # the smallest hashes: a sample that does not depend on partitions
+    picked = rows.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
+    got = picked.mapInPandas(run, "seconds array<double>, hits array<boolean>").collect()
+    return order_rules([list(zip(r["seconds"], r["hits"])) for r in got], list(named))
 
 
 def repetition(docs: DataFrame, at_least: float = 0.0, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -129,13 +145,11 @@ def repetition(docs: DataFrame, at_least: float = 0.0, doc_id: str = "doc_id", t
     With ``at_least`` > 0 only documents of that share or more are returned, and the cascade spares the others the
     exact count. Null and empty texts have share 0. Whole texts are read, however long.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
     cascade: list[Callable[[str, float], bool]] = []
     if at_least > 0:
-        # the smallest hashes: a sample that does not depend on partitions
-        picked = rows.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
         named = rules(span)
-        cascade = [named[r] for r in order_rules([r["text"] for r in picked.select(F.substring("text", 1, 100_000).alias("text")).toLocalIterator()], at_least, span)]
+        cascade = [named[r] for r in _measure(rows, at_least, span)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -147,6 +161,7 @@ def repetition(docs: DataFrame, at_least: float = 0.0, doc_id: str = "doc_id", t
                 share = repeated_share(s, span)
                 if share >= at_least:
                     out.append((i, len(s), share))
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "share"]).astype({"doc_id": "Int64", "n_chars": "int64", "share": "float64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "share"]).astype({"doc_id": object, "n_chars": "int64", "share": "float64"})
 
-    return rows.mapInPandas(run, "doc_id long, n_chars long, share double")
+    out = rows.mapInPandas(run, "doc_id string, n_chars long, share double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

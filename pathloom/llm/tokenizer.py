@@ -66,6 +66,16 @@ class PerfectHash:
         self.keys = [keys[i] for i in owner]
         self.ranks = [ranks[keys[i]] for i in owner]
 
+    def parts(self) -> tuple:
+        """Plain data, which any worker can unpickle."""
+        return self.n, self.buckets, self.displace, self.keys, self.ranks
+
+    @classmethod
+    def of(cls, parts: tuple) -> PerfectHash:
+        out = cls.__new__(cls)
+        out.n, out.buckets, out.displace, out.keys, out.ranks = parts
+        return out
+
     @staticmethod
     def _slot(h: int, d: int, n: int) -> int:
         x = ((h ^ (d * _MIX & _MASK)) * 0xD6E8FEB86659FD93) & _MASK
@@ -146,23 +156,25 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[st
 
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids`` for every document; no special tokens, their strings are ordinary text."""
-    table = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)))
+    table = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)).parts())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = Encoder(table.value)
+        e = Encoder(PerfectHash.of(table.value))
         for ids, texts in _texts(batches):
             yield pd.DataFrame({"doc_id": ids, "ids": [np.asarray(e.encode(t), "int32") for t in texts]})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    # ids travel as text: nulls among integers would turn them into floating point
+    out = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "doc_id string, ids array<int>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` and ``tokens``, the number of token ids of the text."""
-    table = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)))
+    table = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)).parts())
     schema = docs.select(keep).schema.add("tokens", "long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = Encoder(table.value)
+        e = Encoder(PerfectHash.of(table.value))
         for d in batches:
             n = [len(e.encode(t)) if isinstance(t, str) else 0 for t in d["_text"]]
             yield d[keep].assign(tokens=np.asarray(n, "int64"))
