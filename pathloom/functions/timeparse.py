@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 # Zone abbreviations and their offsets from UTC in minutes.
@@ -33,12 +32,18 @@ _DAY_MONTH = re.compile(r"(?:[A-Za-z]{3,9}\.?,?\s+)?(\d{1,2})[\s\-.]+([A-Za-z]{3
 _MONTH_DAY = re.compile(r"(?:[A-Za-z]{3,9}\.?,?\s+)?([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})$")
 
 
-@lru_cache(4096)
+_ZONES: dict[str, ZoneInfo | None] = {}  # a plain dict: kernels travel by value
+
+
 def zone(name: str) -> ZoneInfo | None:
-    try:
-        return ZoneInfo(name)
-    except Exception:
-        return None
+    if name not in _ZONES:
+        if len(_ZONES) > 4096:
+            _ZONES.clear()
+        try:
+            _ZONES[name] = ZoneInfo(name)
+        except Exception:
+            _ZONES[name] = None
+    return _ZONES[name]
 
 
 def _us(local: dt.datetime) -> int:

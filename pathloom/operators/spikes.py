@@ -34,11 +34,11 @@ class _Field:
     """The readings of one field in a block, as arrays."""
 
     def __init__(self, block: pd.DataFrame, name: str, still: str, place: str):
-        v = block[name].to_numpy("float64", na_value=np.nan)
+        v = block[f"v_{name}"].to_numpy("float64", na_value=np.nan)
         at = np.flatnonzero(~np.isnan(v))
         self.at, self.v, self.k = at, v[at], block["k"].to_numpy()[at]
-        s = block[still].to_numpy("float64", na_value=np.nan)[at]
-        p = block[place].to_numpy("float64", na_value=np.nan)[at]
+        s = block[f"v_{still}"].to_numpy("float64", na_value=np.nan)[at]
+        p = block[f"v_{place}"].to_numpy("float64", na_value=np.nan)[at]
         n = len(at)
         change = np.ones(n, bool)
         change[1:] = (self.k[1:] != self.k[:-1]) | (self.v[1:] != self.v[:-1])
@@ -83,11 +83,13 @@ def implausible(
     One row per flagged reading and field; of several rules the first in the order named is given.
     """
     fields = list(bounds)
-    others = [c for c in df.columns if c != row_id]
-    one = df.where(F.col(key).isNotNull()).groupBy(*others).agg(F.min(row_id).alias("r"))
     used = list(dict.fromkeys([*fields, still, place]))
-    rows = one.select(F.col(key).cast("string").alias("k"), micros(time).alias("t"), "r", *(F.col(c).cast("double").alias(c) for c in used))
-    blocks = OrderedBlocks(rows, ["k", "t", "r"], [], keep=["k", "r", *used], rows_per_block=rows_per_block)
+    # what makes rows equal: every column but the row id, whatever its name; maps have no order and compare as text
+    same = {f"g{i}": F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for i, f in enumerate(df.schema) if f.name != row_id}
+    name_of = {f.name: f"g{i}" for i, f in enumerate(df.schema) if f.name != row_id}
+    one = df.where(F.col(key).isNotNull()).select(F.col(row_id).alias("r"), *(v.alias(n) for n, v in same.items())).groupBy(*same).agg(F.min("r").alias("r"))
+    rows = one.select(F.col(name_of[key]).cast("string").alias("k"), micros(name_of[time]).alias("t"), "r", F.col("r").cast("string").alias("id"), *(F.col(name_of[c]).cast("double").alias(f"v_{c}") for c in used))
+    blocks = OrderedBlocks(rows, ["k", "t", "r"], [], keep=["k", "id", *(f"v_{c}" for c in used)], rows_per_block=rows_per_block)
     h = max_spike + flank - 1
 
     def report(block: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +159,7 @@ def implausible(
 
     def work(block: pd.DataFrame, b: int) -> pd.DataFrame:
         out = []
-        ids = block["r"].to_numpy()
+        ids = block["id"].to_numpy()
         for f in fields:
             x = _Field(block, f, still, place)
             n = len(x.v)
@@ -212,6 +214,7 @@ def implausible(
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         return pd.concat(out, ignore_index=True)
 
-    schema = "row_id long, traj_id string, field string, value double, rule string, rolling_median double, rolling_mad double, usual_change double"
+    schema = "row_id string, traj_id string, field string, value double, rule string, rolling_median double, rolling_mad double, usual_change double"
     found = blocks.map(work, schema)
+    found = found.withColumn("row_id", F.col("row_id").cast(df.schema[row_id].dataType))
     return found.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c.startswith(("rolling", "usual")) else F.col(c) for c in found.columns))

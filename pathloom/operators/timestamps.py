@@ -102,10 +102,10 @@ def normalise_timestamps(
 
     ``sources``: one row per source with its zone and declared order (both may be null).
     """
-    about = sources.groupBy(source).agg(F.max(time_zone).alias("tz"), F.max(date_order).alias("declared"))
-    rows = df.select(F.col(row_id).alias("id"), F.col(source).alias(source), F.col(text).cast("string").alias("txt"), micros(received).alias("got"))
-    joined = rows.join(about, source, "left").select("id", F.col(source).cast("string").alias("src"), "declared", "tz", "txt", "got")
-    parsed = reliable(joined.mapInPandas(_parse, "id long, src string, declared string, sig string, us array<long>"))
+    about = sources.groupBy(F.col(source).cast("string").alias("src")).agg(F.max(time_zone).alias("tz"), F.max(date_order).alias("declared"))
+    rows = df.select(F.col(row_id).cast("string").alias("id"), F.col(source).cast("string").alias("src"), F.col(text).cast("string").alias("txt"), micros(received).alias("got"))
+    joined = rows.join(about, "src", "left").select("id", "src", "declared", "tz", "txt", "got")
+    parsed = reliable(joined.mapInPandas(_parse, "id string, src string, declared string, sig string, us array<long>"))
     counts = parsed.where(F.col("sig") != "").groupBy("src", "declared", "sig").agg(F.count("*").alias("n"))
     choices = counts.groupBy("src", "declared").applyInPandas(_em, "src string, declared string, sig string, pick int, posterior double")
     several = F.instr("sig", "|") > 0
@@ -126,6 +126,6 @@ def normalise_timestamps(
     out = every.withColumn("at", pick)
     status = F.when(F.col("at").isNull(), "none").when(sure, "resolved").otherwise("ambiguous")
     return out.select(
-        F.col("id").alias(row_id), F.when(F.col("at").isNotNull() & sure, F.get("us", F.col("at"))).alias("utc_us"), status.alias("status"),
+        F.col("id").cast(df.schema[row_id].dataType).alias(row_id), F.when(F.col("at").isNotNull() & sure, F.get("us", F.col("at"))).alias("utc_us"), status.alias("status"),
         F.get("forms", F.col("at")).alias("form"), "posterior",
     )
