@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.tokenizer import VOCABULARY, count_tokens
 from pathloom.operators.blocks import reliable
 
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 4096
 BUCKETS = 256
 
 
@@ -139,24 +139,26 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     if len(per) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     flow, size = route({p: sum(b.values()) for p, b in per.items()}, aims, total)
-    starts, lines = [], []
-    for p, b in per.items():
-        at = 0
-        for k in range(buckets):
-            if k in b:
-                starts.append((list(p), k, at))
-                at += b[k]
+    lines: dict[tuple[str, ...], list[tuple[int, str, int, int]]] = {}
     ends: dict[tuple, int] = {}
     for (p, r, s), n in sorted(flow.items()):
         begin = ends.get((p, r), 0)
-        lines.append((list(p), r, s, begin, begin + n))
+        lines.setdefault(p, []).append((r, s, begin, begin + n))
         ends[p, r] = begin + n
-    begun = spark.createDataFrame(starts, "pattern array<string>, bucket int, base long")
-    cuts = spark.createDataFrame(lines, "pattern array<string>, r int, source string, a long, z long").groupBy("pattern").agg(F.collect_list(F.struct("r", "source", "a", "z")).alias("cuts"))
+    starts = []
+    for p, b in per.items():
+        at = 0
+        for k in sorted(b):  # each bucket gets the cuts that meet its stretch of the line
+            cuts = [c for c in lines.get(p, []) if c[2] < at + b[k] and at < c[3]]
+            if cuts:
+                starts.append((list(p), k, at, cuts))
+            at += b[k]
+    begun = spark.createDataFrame(starts, "pattern array<string>, bucket int, base long, cuts array<struct<r:int,source:string,a:long,z:long>>")
     w = Window.partitionBy("pattern", "bucket").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, -1)
-    # both small sides are bounded by MAX_PATTERNS x buckets; whether they are broadcast is left to their measured size
+    # the small side is bounded by MAX_PATTERNS x buckets; whether it is broadcast is left to its measured size, and
+    # otherwise the join key is as fine as the window's, so a pattern with a third of all texts is spread over its buckets
     at = F.col("base") + F.coalesce(F.sum("tokens").over(w), F.lit(0)) + F.col("tokens") / 2
-    placed = texts.join(begun, ["pattern", "bucket"]).withColumn("at", at).join(cuts, "pattern")
+    placed = texts.join(begun, ["pattern", "bucket"]).withColumn("at", at)
     used = placed.select("in", "tokens", F.explode(F.filter("cuts", lambda c: (c["a"] <= F.col("at")) & (F.col("at") < c["z"]))).alias("c"))
     chosen = used.withColumn("doc", F.filter("in", lambda x: x["source"] == F.col("c.source"))[0])
     out = chosen.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("c.source").alias("source")).agg(F.count("*").cast("int").alias("copies"), F.max("tokens").alias("tokens"))

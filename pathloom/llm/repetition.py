@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.tokenizer import spread
+
 SPAN = 40
 SAMPLE_DOCS = 400  # bound of the sample on which the rules are measured
 _OTHER = re.compile(r"[\W_]+")
@@ -163,5 +165,5 @@ def repetition(docs: DataFrame, at_least: float = 0.0, doc_id: str = "doc_id", t
                     out.append((i, len(s), share))
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "share"]).astype({"doc_id": object, "n_chars": "int64", "share": "float64"})
 
-    out = rows.mapInPandas(run, "doc_id string, n_chars long, share double")
+    out = spread(rows).mapInPandas(run, "doc_id string, n_chars long, share double")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

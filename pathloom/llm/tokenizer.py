@@ -154,6 +154,12 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[st
             yield part["doc_id"], [t if isinstance(t, str) else None for t in part["text"]]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer tasks than that (a small file); else untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids`` for every document; no special tokens, their strings are ordinary text."""
     table = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)).parts())
@@ -164,7 +170,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
             yield pd.DataFrame({"doc_id": ids, "ids": [np.asarray(e.encode(t), "int32") for t in texts]})
 
     # ids travel as text: nulls among integers would turn them into floating point
-    out = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "doc_id string, ids array<int>")
+    out = spread(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInPandas(run, "doc_id string, ids array<int>")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
@@ -179,4 +185,4 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabular
             n = [len(e.encode(t)) if isinstance(t, str) else 0 for t in d["_text"]]
             yield d[keep].assign(tokens=np.asarray(n, "int64"))
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInPandas(run, schema)
+    return spread(docs.select(*keep, F.col(text).cast("string").alias("_text"))).mapInPandas(run, schema)
