@@ -155,9 +155,11 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[st
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan has fewer tasks than that (a small file); else untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """Rows over all cores where a plain scan has fewer tasks than that (a small file); else untouched."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():  # asking for its partitions would run it
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
