@@ -16,6 +16,7 @@ from pathloom.operators import contextual as C
 from pathloom.operators import filters as Fi
 from pathloom.operators import interpolate as I
 from pathloom.operators import kinematic as K
+from pathloom.operators import linked as L
 from pathloom.operators import stats as S
 from pathloom.operators import temporal as T
 from pathloom.operators import views as V
@@ -143,6 +144,8 @@ add(
     f"WITH {PTS}, {features()} SELECT row_id, {', '.join(sql_round(f) for f in FEATURES)} FROM feat",
 )
 
+add("kinematic_all_chunked", lambda s, d: L.generate_kinematic_features_chunked(points(s, d), 7 * 86400).select("row_id", *(r(f, *ROUND[f]) for f in FEATURES)), ORACLES["kinematic_all"])
+
 # --- aggregates ----------------------------------------------------------------------------------------------------
 add("bounding_box", lambda s, d: A.bounding_box(points(s, d)), f"WITH {PTS} SELECT min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM pts")
 add("start_location", lambda s, d: A.get_start_location(points(s, d)), f"WITH {PTS}, o AS (SELECT *, row_number() OVER {W} AS rn FROM pts) SELECT traj_id, lat, lon FROM o WHERE rn = 1")

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from pathloom import schema
-from pathloom.operators import aggregates, contextual, filters, interpolate, kinematic, stats, temporal, views
+from pathloom.operators import aggregates, contextual, filters, interpolate, kinematic, linked, stats, temporal, views
 from pathloom.operators import regrid, rolling, spikes, stops, timestamps, tree
 
-_HOMES = (kinematic, temporal, filters, interpolate, stats, contextual, aggregates, views, regrid, rolling, spikes, stops, timestamps, tree, schema)
+_HOMES = (kinematic, linked, temporal, filters, interpolate, stats, contextual, aggregates, views, regrid, rolling, spikes, stops, timestamps, tree, schema)
 
 
 def operators() -> dict[str, Callable]:

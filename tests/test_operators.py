@@ -94,6 +94,14 @@ def test_one_exchange_for_all_features(walk):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("chunk_s", [1, 10, 1000])
+def test_chunked_features_are_the_same(walk, chunk_s):
+    from pathloom.operators.linked import generate_kinematic_features_chunked
+
+    get = lambda df: {r["row_id"]: tuple(r[f] for f in FEATURES) for r in df.collect()}
+    assert get(generate_kinematic_features_chunked(walk, chunk_s)) == get(K.generate_kinematic_features(walk))
+
+
 def test_compat_rate(spark):
     df = points(spark, [("a", 10 * i, 0.001 * i * i, 0.002 * (i % 3)) for i in range(6)])
     a = K.create_rate_of_br_column(df, compat=True).orderBy("row_id").collect()
