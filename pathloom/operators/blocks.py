@@ -17,6 +17,7 @@ import math
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,28 +88,37 @@ def edges(block: pd.DataFrame, h: int) -> pd.DataFrame:
     return pd.concat([block.iloc[:h].assign(_side="a"), block.iloc[-h:].assign(_side="z")], ignore_index=True)
 
 
-def halos(report: pd.DataFrame, h: int) -> dict[int, tuple[pd.DataFrame, pd.DataFrame]]:
-    """For each block the ``h`` rows before and after it, from the edges of as many neighbours as needed."""
-    cols = [c for c in report.columns if c not in (BLOCK, "_side")]
-    firsts = {int(k): v[cols] for k, v in report[report["_side"] == "a"].groupby(BLOCK)}
-    lasts = {int(k): v[cols] for k, v in report[report["_side"] == "z"].groupby(BLOCK)}
-    ids = sorted(firsts)
-    out = {}
-    for at, k in enumerate(ids):
-        before, after, have = [], [], 0
-        j = at - 1
-        while j >= 0 and have < h:
-            before.insert(0, lasts[ids[j]])
-            have += len(lasts[ids[j]])
-            j -= 1
-        j, have = at + 1, 0
-        while j < len(ids) and have < h:
-            after.append(firsts[ids[j]])
-            have += len(firsts[ids[j]])
-            j += 1
-        empty = report.iloc[:0][cols]
-        out[k] = (
-            (pd.concat(before) if before else empty).iloc[-h:].reset_index(drop=True),
-            (pd.concat(after) if after else empty).iloc[:h].reset_index(drop=True),
-        )
-    return out
+class halos:  # noqa: N801
+    """``halos(report, h)[block]``: the ``h`` rows before and after a block, from the edges of as many neighbours as needed.
+
+    All edges lie in two flat tables (``2 h`` rows per block); a task cuts out its own.
+    """
+
+    def __init__(self, report: pd.DataFrame, h: int):
+        cols = [c for c in report.columns if c not in (BLOCK, "_side")]
+        report = report.sort_values(BLOCK, kind="stable")
+        self.h, self.side, self.at = h, {}, {}
+        self.ids = report[BLOCK].drop_duplicates().to_numpy()
+        for name in ("a", "z"):
+            part = report[report["_side"] == name]
+            self.side[name] = part[cols].reset_index(drop=True)
+            self.at[name] = np.searchsorted(part[BLOCK].to_numpy(), self.ids).tolist() + [len(part)]
+
+    def _rows(self, name: str, i: int) -> pd.DataFrame:
+        return self.side[name].iloc[self.at[name][i] : self.at[name][i + 1]]
+
+    def __getitem__(self, block: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        here = int(np.searchsorted(self.ids, block))
+        before, after = [self.side["z"].iloc[:0]], [self.side["a"].iloc[:0]]
+        i, have = here - 1, 0
+        while i >= 0 and have < self.h:
+            before.insert(0, self._rows("z", i))
+            have += len(before[0])
+            i -= 1
+        i, have = here + 1, 0
+        while i < len(self.ids) and have < self.h:
+            after.append(self._rows("a", i))
+            have += len(after[-1])
+            i += 1
+        join = lambda parts: pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+        return join(before).iloc[-self.h :].reset_index(drop=True), join(after).iloc[: self.h]

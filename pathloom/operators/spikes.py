@@ -117,12 +117,14 @@ def implausible(
         ids = sorted(heads)
         run = None
         for b in ids:  # the run that reaches each block's start
-            before[f, b] = run if _same(run, heads[b]) else None
-            run = _merge(run, heads[b]) if heads[b]["whole"] and before[f, b] else tails[b]
+            if _same(run, heads[b]):
+                before[f, b] = run
+            run = _merge(run, heads[b]) if heads[b]["whole"] and (f, b) in before else tails[b]
         run = None
         for b in reversed(ids):
-            after[f, b] = run if _same(run, tails[b]) else None
-            run = _merge(run, heads[b]) if heads[b]["whole"] and after[f, b] else heads[b]
+            if _same(run, tails[b]):
+                after[f, b] = run
+            run = _merge(run, heads[b]) if heads[b]["whole"] and (f, b) in after else heads[b]
         for a, b in zip(ids, ids[1:]):
             if tails[a]["k"] == heads[b]["k"]:
                 spanning.add(tails[a]["k"])

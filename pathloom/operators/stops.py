@@ -35,7 +35,7 @@ from pathloom.operators.blocks import BLOCK, ROWS_PER_BLOCK, OrderedBlocks, edge
 _EDGE = "k string, t long, lat double, lon double, path double, one boolean, _side string"
 _EVENT = (
     "k string, kind int, t0 long, t1 long, c0 double, c1 double, n long, "
-    "block int, unit int, into long, heads array<long>, la0 double, la1 double, lo0 double, lo1 double, path double"
+    "block int, unit int, into long, heads array<long>, sla double, slo double, hla array<double>, hlo array<double>"
 )
 _START, _STOP, _END, _OPEN = 0, 1, 2, 3
 
@@ -141,6 +141,13 @@ def _by_place(idx: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius: float,
     return out
 
 
+def _outermost(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """The furthest points in 32 directions: what a circle around a dwell has to hold, to half a per cent."""
+    turn = np.arange(32) * (2 * np.pi / 32)
+    x, y = (lon - lon[0]) * np.cos(np.radians(lat[0])), lat - lat[0]
+    return np.unique((np.outer(np.cos(turn), x) + np.outer(np.sin(turn), y)).argmax(axis=1))
+
+
 def _dedupe(block: pd.DataFrame) -> pd.DataFrame:
     k, t = block["k"].to_numpy(), block["t"].to_numpy()
     first = np.ones(len(block), bool)
@@ -262,7 +269,8 @@ def stops_and_trips(
         spans = [(int(sess[o[0]]), int(t[o[0]]), np.iinfo("int64").max if root[o[0]] >= z else int(t[o[-1]])) for o in opens]
 
         def opened(idx, number_of, into, heads):
-            return event(_OPEN, idx[0], idx[-1], len(idx), block=number, unit=number_of, into=into, heads=heads, la0=la[idx].min(), la1=la[idx].max(), lo0=lo[idx].min(), lo1=lo[idx].max())
+            far = _outermost(la[idx], lo[idx])
+            return event(_OPEN, idx[0], idx[-1], len(idx), block=number, unit=number_of, into=into, heads=heads, sla=la[idx].sum(), slo=lo[idx].sum(), hla=la[idx][far].tolist(), hlo=lo[idx][far].tolist())
 
         contested = lambda u: any(s == u["s"] and b <= u["t1"] and e >= u["t0"] for s, b, e in spans)
         free: dict[int, list[dict]] = {}
@@ -281,7 +289,8 @@ def stops_and_trips(
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _EVENT.split(", ")])
         for c in ("block", "unit", "into"):
             frame[c] = frame[c].astype("Int64")
-        frame["heads"] = pd.Series([h if isinstance(h, list) else None for h in frame["heads"]], dtype=object)
+        for c in ("heads", "hla", "hlo"):
+            frame[c] = pd.Series([h if isinstance(h, list) else None for h in frame[c]], dtype=object)
         return frame
 
     events = reliable(blocks.map(work, _EVENT))
@@ -323,17 +332,18 @@ def _join_pieces(pieces: pd.DataFrame, radius_m: float, min_us: int) -> list[dic
     by_head = {(u["k"], h): i for i, u in enumerate(p) for h in (u["heads"] if u["heads"] is not None else [])}
     for i, u in enumerate(p):
         if not pd.isna(u["into"]) and (j := by_head.get((u["k"], int(u["into"])))) is not None:
-            box = lambda c, f, i=i, j=j: f(p[find(i)][c], p[find(j)][c])
-            la0, la1, lo0, lo1 = box("la0", min), box("la1", max), box("lo0", min), box("lo1", max)
-            if haversine_m(la0, lo0, la1, lo1) <= 2 * radius_m * math.sqrt(2):
-                ri, rj = find(i), find(j)
-                if ri != rj:
-                    m, o = p[ri], p[rj]
-                    merged = {"la0": la0, "la1": la1, "lo0": lo0, "lo1": lo1, "n": m["n"] + o["n"]}
-                    early, late = (m, o) if m["t0"] <= o["t0"] else (o, m)
-                    end = m if m["t1"] >= o["t1"] else o
-                    m |= merged | {"t0": early["t0"], "c0": early["c0"], "t1": end["t1"], "c1": end["c1"]}
-                    parent[rj] = ri
+            ri, rj = find(i), find(j)
+            if ri == rj:
+                continue
+            m, o = p[ri], p[rj]
+            n, sla, slo = m["n"] + o["n"], m["sla"] + o["sla"], m["slo"] + o["slo"]
+            hla, hlo = np.r_[m["hla"], o["hla"]], np.r_[m["hlo"], o["hlo"]]
+            if haversine_m(sla / n, slo / n, hla, hlo).max() <= radius_m:
+                far = _outermost(hla, hlo)
+                early, late = (m, o) if m["t0"] <= o["t0"] else (o, m)
+                end = m if m["t1"] >= o["t1"] else o
+                m |= {"n": n, "sla": sla, "slo": slo, "hla": hla[far], "hlo": hlo[far], "t0": early["t0"], "c0": early["c0"], "t1": end["t1"], "c1": end["c1"]}
+                parent[rj] = ri
     roots = [p[i] for i in range(len(p)) if find(i) == i]
     roots = sorted((u for u in roots if u["t1"] - u["t0"] >= min_us), key=lambda u: (u["k"], u["t0"]))
     out, at = [], 0
