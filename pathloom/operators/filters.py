@@ -151,9 +151,11 @@ def hampel_outlier_detection(df: DataFrame, column: str, window: int = 5, n: flo
     step1 = df.withColumn("_hampel_v", values)
     step2 = step1.withColumn("_hampel_m", F.when(F.size("_hampel_v") == size, middle(F.array_sort("_hampel_v"))))
     step3 = step2.withColumn("_hampel_s", F.when(F.col("_hampel_m").isNotNull(), 1.4826 * middle(F.array_sort(F.transform("_hampel_v", lambda x: F.abs(x - F.col("_hampel_m")))))))
-    ahead, behind = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    # "the next one" is the last one in reverse order: a growing frame, linear in the length of a trajectory
+    back = Window.partitionBy(TRAJ).orderBy(F.desc(TIME), F.desc(ROW))
+    ahead, behind = back.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, 0)
     pair = F.when(F.col("_hampel_m").isNotNull(), F.struct("_hampel_m", "_hampel_s"))
     step4 = step3.withColumn("_hampel_p", pair)
-    step5 = step4.withColumn("_hampel_q", F.coalesce(F.first("_hampel_p", ignorenulls=True).over(ahead), F.last("_hampel_p", ignorenulls=True).over(behind)))
+    step5 = step4.withColumn("_hampel_q", F.coalesce(F.last("_hampel_p", ignorenulls=True).over(ahead), F.last("_hampel_p", ignorenulls=True).over(behind)))
     far = F.abs(F.col(f"`{column}`") - F.col("_hampel_q._hampel_m")) > n * F.col("_hampel_q._hampel_s")
     return step5.where(~F.coalesce(far, F.lit(False))).drop("_hampel_v", "_hampel_m", "_hampel_s", "_hampel_p", "_hampel_q")

@@ -6,10 +6,12 @@ afterwards; points are never multiplied by the number of features.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.kinematic import generate_kinematic_features
+from pathloom.operators.linked import generate_kinematic_features_chunked
+from pathloom.operators.quantiles import exact_quantiles, grouped_quantiles
 from pathloom.schema import FEATURES, LAT, LON, TIME, TRAJ, need, ordered
 
 PERCENTS = {"10%": 0.1, "25%": 0.25, "50%": 0.5, "75%": 0.75, "90%": 0.9}
@@ -37,21 +39,54 @@ def segment_traj_by_days(df: DataFrame, num_days: int, mode: str = "cumulative")
     return rows.where(most >= 1).withColumn(SEG, F.explode(F.sequence(F.lit(1), most))).drop("_id", "_a", "_z")
 
 
-def _wide(df: DataFrame, target: str, segmented: bool, compat: bool) -> tuple[DataFrame, list[str]]:
-    keys = [TRAJ, SEG] if segmented else [TRAJ]
-    need(df, target, *keys)
-    plain = df.drop(*FEATURES)
-    full = generate_kinematic_features(plain, *keys[1:], compat=compat)
-    aggs = []
+GIANT = 2_000_000  # points of one trajectory (or segment) from which no task gathers it
+
+
+def _summaries(target: str) -> list[Column]:
+    out = []
     for f in FEATURES:
-        aggs += [F.percentile(f, F.array(*(F.lit(p) for p in PERCENTS.values()))).alias(f"{f}__p"), F.min(f).alias(f"{f}__min"), F.max(f).alias(f"{f}__max"), F.avg(f).alias(f"{f}__mean"), F.stddev_samp(f).alias(f"{f}__std")]
-    order = F.struct(TIME, "row_id")
-    return full.groupBy(*keys).agg(*aggs, F.min_by(F.col(f"`{target}`"), order).alias(target)), keys
+        out += [F.min(f).alias(f"{f}__min"), F.max(f).alias(f"{f}__max"), F.avg(f).alias(f"{f}__mean"), F.stddev_samp(f).alias(f"{f}__std")]
+    return [*out, F.min_by(F.col(f"`{target}`"), F.struct(TIME, "row_id")).alias(target)]
 
 
-def generate_kinematic_stats(df: DataFrame, target_col_name: str, segmented: bool = False, compat: bool = False) -> DataFrame:
-    """Long form: one row per trajectory (and segment) and feature, with the nine statistics and the first label."""
-    wide, keys = _wide(df, target_col_name, segmented, compat)
+def _wide(df: DataFrame, target: str, segmented: bool, compat: bool, giant: int) -> tuple[DataFrame, list[str]]:
+    keys = [TRAJ, SEG] if segmented else [TRAJ]
+    need(df, target, *keys)
+    plain = ordered(df.drop(*FEATURES))
+    large = plain.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > int(giant)).drop("_n")
+    some = not large.isEmpty()
+    usual = plain.join(large, keys, "left_anti") if some else plain
+    full = generate_kinematic_features(usual, *keys[1:], compat=compat)
+    exact = [F.percentile(f, F.array(*(F.lit(p) for p in PERCENTS.values()))).alias(f"{f}__p") for f in FEATURES]
+    wide = full.groupBy(*keys).agg(*exact, *_summaries(target))
+    if some:
+        wide = wide.unionByName(_giants(plain.join(large, keys, "left_semi"), keys, target, compat))
+    return wide, keys
+
+
+def _giants(df: DataFrame, keys: list[str], target: str, compat: bool) -> DataFrame:
+    """The same for trajectories too large for one task: features by time chunks, sums by partial aggregation, quantiles
+    from even blocks of sorted values."""
+    name = F.to_json(F.struct(*keys))
+    one = df.withColumns({f"_key_{k}": F.col(k) for k in keys}).withColumn(TRAJ, name)
+    full = generate_kinematic_features_chunked(one)
+    if compat:
+        full = full.withColumn("Rate_of_bearing_rate", F.col("Bearing_Rate"))
+    sums = full.groupBy(TRAJ).agg(*(F.first(f"_key_{k}").alias(f"_key_{k}") for k in keys), *_summaries(target))
+    values = full.select(TRAJ, F.posexplode(F.array(*FEATURES)).alias("f", "v")).select(F.concat_ws("|", F.col("f"), F.col(TRAJ)).alias("g"), "v")
+    q = grouped_quantiles(values, "g", "v", list(PERCENTS.values()))
+    part = F.split("g", "\\|", 2)
+    per = q.select(part[1].alias(TRAJ), part[0].cast("int").alias("f"), "q").groupBy(TRAJ).agg(*(F.first(F.when(F.col("f") == i, F.col("q")), ignorenulls=True).alias(f"{f}__p") for i, f in enumerate(FEATURES)))
+    met = sums.join(per, TRAJ, "left").drop(TRAJ)
+    return met.withColumnsRenamed({f"_key_{k}": k for k in keys})
+
+
+def generate_kinematic_stats(df: DataFrame, target_col_name: str, segmented: bool = False, compat: bool = False, giant: int = GIANT) -> DataFrame:
+    """Long form: one row per trajectory (and segment) and feature, with the nine statistics and the first label.
+
+    Quantiles are exact. Trajectories of more than ``giant`` points take a path that never gathers one in a task.
+    """
+    wide, keys = _wide(df, target_col_name, segmented, compat, giant)
     rows = F.array(*(
         F.struct(
             F.lit(f).alias("Columns"), *(F.get(f"{f}__p", i).alias(name) for i, name in enumerate(PERCENTS)),
@@ -74,8 +109,6 @@ def pivot_stats_df(stats: DataFrame, target_col_name: str, segmented: bool = Fal
 def describe_column(df: DataFrame, column: str) -> DataFrame:
     """Percentiles, mean, deviation and extremes of one column of the whole table, in one row."""
     need(df, column)
-    from pathloom.operators.quantiles import exact_quantiles
-
     got = exact_quantiles(df, F.col(f"`{column}`"), list(PERCENTS.values()))
     out = df.agg(F.count(f"`{column}`").alias("count"), F.avg(f"`{column}`").alias("mean"), F.stddev_samp(f"`{column}`").alias("std"), F.min(f"`{column}`").alias("min"), F.max(f"`{column}`").alias("max"))
     return out.withColumns({name: F.lit(v).cast("double") for name, v in zip(PERCENTS, got)})

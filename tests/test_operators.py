@@ -17,7 +17,7 @@ from pathloom.operators import kinematic as K
 from pathloom.operators import stats as S
 from pathloom.operators import temporal as T
 from pathloom.operators import views as V
-from pathloom.operators.quantiles import exact_quantiles
+from pathloom.operators.quantiles import exact_quantiles, grouped_quantiles
 from pathloom.plans.pipeline import Trajectories, operators
 from pathloom.schema import FEATURES
 from pathloom.sources import io
@@ -230,6 +230,32 @@ def test_segments_and_stats(spark):
     assert mi["lat"] > mi["lon"] == pytest.approx(0)
 
 
+@pytest.mark.parametrize("segmented", [False, True])
+def test_giant_trajectories_have_the_same_statistics(spark, segmented):
+    from pathloom.plans.catalogue import points as table
+
+    df = table(spark, "/root/testdata/sf0.001").where("CAST(traj_id AS INT) < 5")
+    df = S.segment_traj_by_days(df, 10) if segmented else df
+    get = lambda giant: {(r["traj_id"], r["seg_id"] if segmented else 0, r["Columns"]): r for r in S.generate_kinematic_stats(df, "event_type", segmented=segmented, giant=giant).collect()}
+    usual, giants, mixed = get(10**9), get(0), get(60)
+    assert usual.keys() == giants.keys() == mixed.keys() and len(usual) >= 32
+    for k, r in usual.items():
+        for other in (giants[k], mixed[k]):
+            assert other["event_type"] == r["event_type"]
+            assert all(other[s] == (pytest.approx(r[s], rel=1e-9) if r[s] is not None else None) for s in S.STATS)
+
+
+def test_grouped_quantiles(spark):
+    rng = np.random.default_rng(8)
+    g = rng.choice(["a", "b", "c", "d|e"], p=[0.7, 0.2, 0.09, 0.01], size=4000)
+    v = rng.normal(size=4000).round(2)
+    df = spark.createDataFrame(list(zip(g.tolist(), v.tolist())), "g string, v double")
+    for per in (150_000, 37):
+        got = {r["g"]: r["q"] for r in grouped_quantiles(df, "g", "v", [0.0, 0.1, 0.5, 0.75, 1.0], rows_per_block=per).collect()}
+        for k in set(g):
+            assert got[k] == pytest.approx(list(np.quantile(v[g == k], [0.0, 0.1, 0.5, 0.75, 1.0])))
+
+
 def test_context(walk, spark):
     layers = spark.createDataFrame([("lake", 0.001, 0.001), ("lake", 0.001, 0.001), ("hut", 5.0, 5.0)], "name string, lat double, lon double")
     assert {r["row_id"]: r["Visited_lake"] for r in C.visited_location(walk, layers, "lake", "name").collect()} == {i: int(i in (2, 3)) for i in range(8)}
