@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.npgeo import haversine_m
 from pathloom.functions.times import micros
-from pathloom.operators.blocks import ROWS_PER_BLOCK, shuffle_partitions
+from pathloom.operators.blocks import ROWS_PER_BLOCK, reliable, shuffle_partitions
 
 _STATE = "n long, points long, t0 long, t1 long, la0 double, lo0 double, la1 double, lo1 double, path double"
 _FIELDS = [c.split()[0] for c in _STATE.split(", ")]
@@ -138,7 +138,8 @@ def tree_profile(
     clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     pings = df.select(F.col(key).cast("string").alias("k"), micros(time).alias("t"), clean(lat).alias("lat"), clean(lon).alias("lon"), F.col(row_id).alias("r"))
     chunks = pings.repartitionByRange(parts, "k", "t", "r").sortWithinPartitions("k", "t", "r").select("k", "t", "lat", "lon", F.spark_partition_id().alias("slot"))
-    states = chunks.mapInPandas(_local, f"k string, {_STATE}, slot int, open boolean")
+    # few rows, written once: both uses below must see the same cut into partitions
+    states = reliable(chunks.mapInPandas(_local, f"k string, {_STATE}, slot int, open boolean"))
     body = ["k", *_FIELDS]
     closed = states.where(~F.col("open")).select(body)
     if parts == 1:
