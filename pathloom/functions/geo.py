@@ -103,3 +103,8 @@ def grid_cells(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Colum
 def grid_cell(lat: Column, lon: Column, cell: float) -> Column:
     turn = math.ceil(360 / cell)
     return F.struct(F.floor(lat / cell).cast("int").alias("cy"), F.pmod(F.floor(lon / cell), F.lit(turn)).cast("int").alias("cx"))
+
+
+def cell_for(widest: float | None, parts: int = 8) -> float:
+    """A cell size at which a box of at most ``widest`` degrees meets some ``parts`` cells a side."""
+    return min(max((widest or 0.0) / parts, 0.01), 45.0)

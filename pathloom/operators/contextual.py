@@ -29,14 +29,17 @@ def visited_location(df: DataFrame, layers: DataFrame, name: str, column: str) -
     return met.withColumn(f"Visited_{name}", F.coalesce("_hit", F.lit(0))).drop("_vla", "_vlo", "_hit")
 
 
-def visited_poi(df: DataFrame, surroundings: DataFrame, dist_column: str, nearby_threshold: float, cell: float = 0.05) -> DataFrame:
+def visited_poi(df: DataFrame, surroundings: DataFrame, dist_column: str, nearby_threshold: float, cell: float | None = None) -> DataFrame:
     """``Nearby_POI``: whether some surrounding's distance column differs from its distance to the point by at most the
-    threshold. Each surrounding is sent to the grid cells that its outer ring meets; a point is joined there only."""
+    threshold. Each surrounding is sent to the grid cells that its outer ring meets; a point is joined there only. Without
+    ``cell`` (degrees) the size follows the largest ring, so a surrounding meets a bounded number of cells."""
     need(df, LAT, LON)
     need(surroundings, LAT, LON, dist_column)
     df = ordered(df)
     s = surroundings.select(F.col(LAT).cast("double").alias("_sla"), F.col(LON).cast("double").alias("_slo"), F.col(f"`{dist_column}`").cast("double").alias("_sd"))
     s = s.where(F.col("_sla").isNotNull() & F.col("_slo").isNotNull() & (F.col("_sd") >= -float(nearby_threshold))).distinct()
+    if cell is None:
+        cell = geo.cell_for(2 * ((s.agg(F.max("_sd")).first()[0] or 0.0) + float(nearby_threshold)) / 111_000)
     box = geo.bounding_box_columns(F.col("_sla"), F.col("_slo"), F.col("_sd") + float(nearby_threshold) + 1e-3)
     cells = s.withColumn("_cell", F.explode(geo.grid_cells(*box, cell)))
     near = F.abs(F.col("_sd") - geo.haversine(F.col(LAT), F.col(LON), F.col("_sla"), F.col("_slo"))) <= float(nearby_threshold)

@@ -31,13 +31,14 @@ def trajectory_distance_treemap(df: DataFrame) -> DataFrame:
     return table.select(TRAJ, "Distance", "days", F.try_divide("Distance", "days").alias("daily_distance"), species_of_id(F.col(TRAJ)).alias("Species"))
 
 
-def near_water(df: DataFrame, habitat: DataFrame, dist_from_water: float, cell: float = 0.05) -> DataFrame:
+def near_water(df: DataFrame, habitat: DataFrame, dist_from_water: float) -> DataFrame:
     """Points in the box around some body of water (``EcoGener = 'WR'`` at ``DistEWat = 0``); each point once.
 
     Boxes go to the grid cells they meet, points to their own cell; the join is on cells.
     """
     df = ordered(df)
     water = habitat.where((F.col("EcoGener") == "WR") & (F.col("DistEWat") == 0)).select(F.col(LAT).cast("double").alias("_wla"), F.col(LON).cast("double").alias("_wlo")).where("_wla IS NOT NULL AND _wlo IS NOT NULL").distinct()
+    cell = geo.cell_for(2 * dist_from_water / 111_000)
     a, b, c, d = geo.bounding_box_columns(F.col("_wla"), F.col("_wlo"), dist_from_water)
     boxes = water.select(a.alias("_a"), b.alias("_b"), c.alias("_c"), d.alias("_d")).withColumn("_cell", F.explode(geo.grid_cells(F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d"), cell)))
     spots = df.select(LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).distinct().withColumn("_cell", geo.grid_cell(F.col(LAT), F.col(LON), cell))
@@ -63,9 +64,11 @@ def pasture_bounds(habitat: DataFrame, column: str = "CowPast") -> DataFrame:
     return habitat.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(LAT).alias("min_lat"), F.min(LON).alias("min_lon"), F.max(LAT).alias("max_lat"), F.max(LON).alias("max_lon"))
 
 
-def animals_by_pasture(df: DataFrame, habitat: DataFrame, column: str = "CowPast", cell: float = 0.5) -> DataFrame:
+def animals_by_pasture(df: DataFrame, habitat: DataFrame, column: str = "CowPast", cell: float | None = None) -> DataFrame:
     """``{column}, Species, n``: distinct animals that were within each pasture's bounds, by species."""
     boxes = pasture_bounds(habitat, column)
+    if cell is None:  # follows the widest pasture, so a pasture meets a bounded number of cells
+        cell = geo.cell_for(boxes.agg(F.max(F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon")))).first()[0], 16)
     boxes = boxes.withColumn("_cell", F.explode(geo.grid_cells(F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), F.col("max_lon"), cell)))
     points = df.select(TRAJ, LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).withColumn("_cell", geo.grid_cell(F.col(LAT), F.col(LON), cell))
     met = points.join(boxes, "_cell").where(F.col(LAT).between(F.col("min_lat"), F.col("max_lat")) & F.col(LON).between(F.col("min_lon"), F.col("max_lon")))

@@ -52,6 +52,18 @@ def animals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_trajectories(spark.read.parquet(f"{sf_dir}/animal_points.parquet"))
 
 
+def herd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points with animal-like ids, whose letter names the species."""
+    letter = F.element_at(F.array(F.lit("D"), F.lit("E"), F.lit("C")), (F.col("traj_id").cast("int") % 3 + 1).cast("int"))
+    return points(spark, sf_dir).withColumn("traj_id", F.concat("traj_id", letter))
+
+
+def pastures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled places among the points, some of them water."""
+    eco = F.when(F.col("s_nationkey") % 3 == 0, "WR").otherwise("GR")
+    return pois(spark, sf_dir).select("lat", "lon", F.concat(F.lit("pasture "), (F.col("s_suppkey") % 7).cast("string")).alias("CowPast"), eco.alias("EcoGener"), (F.col("s_suppkey") % 2).cast("double").alias("DistEWat"))
+
+
 def habitat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/habitat.parquet")
 
@@ -350,27 +362,33 @@ FROM i a JOIN i b ON a.lat = b.lat AND a.lon = b.lon WHERE a.traj_id < b.traj_id
 
 # --- views ---------------------------------------------------------------------------------------------------------
 _SPECIES = "CASE WHEN contains(traj_id, 'D') THEN 'Deer' WHEN contains(traj_id, 'E') THEN 'Elk' ELSE 'Cattle' END"
-_AN = "an AS (SELECT * REPLACE (CASE WHEN isnan(lat) THEN NULL ELSE lat END AS lat, CASE WHEN isnan(lon) THEN NULL ELSE lon END AS lon) FROM animal_points)"
 add(
     "daily_distance", lambda s, d: V.trajectory_distance_treemap(points(s, d)).select("traj_id", r("Distance", digits=3), "days", r("daily_distance", digits=3), "Species"),
     f"""WITH {PTS}, {features()}, t AS (SELECT traj_id, coalesce(sum("Distance"), 0) AS x, CAST(floor(date_diff('microsecond', min("DateTime"), max("DateTime")) / 86400e6::DOUBLE) AS INTEGER) AS days FROM feat GROUP BY traj_id)
 SELECT traj_id, round(x, 3) AS "Distance", days, round(x / nullif(days, 0), 3) AS daily_distance, {_SPECIES} AS "Species" FROM t""",
 )
-WATER_M = 100_000.0
-_BOXES = """water AS (SELECT DISTINCT lat, lon FROM habitat WHERE "EcoGener" = 'WR' AND "DistEWat" = 0),
-boxes AS (SELECT lat - degrees(100000::DOUBLE / 6371000) AS a, lat + degrees(100000::DOUBLE / 6371000) AS c,
-  lon - degrees(asin(sin(100000::DOUBLE / 6371000) / cos(radians(lat)))) AS b, lon + degrees(asin(sin(100000::DOUBLE / 6371000) / cos(radians(lat)))) AS d FROM water)"""
-_NEAR = f"{_AN}, {_BOXES}, near AS (SELECT * FROM an WHERE EXISTS (SELECT 1 FROM boxes WHERE an.lat BETWEEN a AND c AND an.lon BETWEEN b AND d))"
-add("hydration_days", lambda s, d: V.hydration_days(animals(s, d), habitat(s, d), WATER_M), f'WITH {_NEAR} SELECT traj_id, {_SPECIES} AS "Species", count(DISTINCT CAST("DateTime" AS DATE)) AS days FROM near GROUP BY traj_id')
+WATER_M = 3000.0
+_HERD = PTS + """, herd AS (SELECT * REPLACE (concat(traj_id, ['D', 'E', 'C'][CAST(traj_id AS INTEGER) % 3 + 1]) AS traj_id) FROM pts)"""
+_PAST = """past AS (SELECT lat, lon, concat('pasture ', s_suppkey % 7) AS "CowPast", CASE WHEN s_nationkey % 3 = 0 THEN 'WR' ELSE 'GR' END AS "EcoGener", CAST(s_suppkey % 2 AS DOUBLE) AS "DistEWat" FROM pois)"""
+_BOXES = f"""water AS (SELECT DISTINCT lat, lon FROM past WHERE "EcoGener" = 'WR' AND "DistEWat" = 0),
+boxes AS (SELECT lat - degrees({WATER_M}::DOUBLE / 6371000) AS a, lat + degrees({WATER_M}::DOUBLE / 6371000) AS c,
+  lon - degrees(asin(sin({WATER_M}::DOUBLE / 6371000) / cos(radians(lat)))) AS b, lon + degrees(asin(sin({WATER_M}::DOUBLE / 6371000) / cos(radians(lat)))) AS d FROM water)"""
+
+
+def _near_sql() -> str:
+    return f"{_HERD}, {POIS}, {_PAST}, {_BOXES}, near AS (SELECT * FROM herd WHERE EXISTS (SELECT 1 FROM boxes WHERE herd.lat BETWEEN a AND c AND herd.lon BETWEEN b AND d))"
+
+
+add("hydration_days", lambda s, d: V.hydration_days(herd(s, d), pastures(s, d), WATER_M), f'WITH {_near_sql()} SELECT traj_id, {_SPECIES} AS "Species", count(DISTINCT CAST("DateTime" AS DATE)) AS days FROM near GROUP BY traj_id')
 add(
-    "hydration_hours", lambda s, d: V.hydration_hours(animals(s, d), habitat(s, d), WATER_M),
-    f"""WITH {_NEAR}, t AS (SELECT {PART} AS p, {_SPECIES} AS sp FROM near) SELECT p AS "Time_Of_Day", sp AS "Species", count(*) AS n,
+    "hydration_hours", lambda s, d: V.hydration_hours(herd(s, d), pastures(s, d), WATER_M),
+    f"""WITH {_near_sql()}, t AS (SELECT {PART} AS p, {_SPECIES} AS sp FROM near) SELECT p AS "Time_Of_Day", sp AS "Species", count(*) AS n,
   list_position(['Late Night', 'Early Morning', 'Morning', 'Noon', 'Evening', 'Night'], p) AS part FROM t GROUP BY ALL""",
 )
 add(
-    "animals_by_area", lambda s, d: V.animals_by_pasture(animals(s, d), habitat(s, d)),
-    f"""WITH {_AN}, b AS (SELECT "CowPast", min(lat) AS a, min(lon) AS b, max(lat) AS c, max(lon) AS d FROM habitat WHERE "CowPast" IS NOT NULL GROUP BY ALL)
-SELECT "CowPast", {_SPECIES} AS "Species", count(DISTINCT traj_id) AS n FROM an JOIN b ON lat BETWEEN a AND c AND lon BETWEEN b AND d GROUP BY ALL""",
+    "animals_by_area", lambda s, d: V.animals_by_pasture(herd(s, d), pastures(s, d)),
+    f"""WITH {_HERD}, {POIS}, {_PAST}, b AS (SELECT "CowPast", min(lat) AS a, min(lon) AS b, max(lat) AS c, max(lon) AS d FROM past GROUP BY ALL)
+SELECT "CowPast", {_SPECIES} AS "Species", count(DISTINCT traj_id) AS n FROM herd JOIN b ON herd.lat BETWEEN a AND c AND herd.lon BETWEEN b AND d GROUP BY ALL""",
 )
 add(
     "area_stats", lambda s, d: V.pasture_stats(habitat(s, d), averages=("DistEWat",)).select("CowPast", r("mean_DistEWat"), "n_water"),

@@ -37,7 +37,7 @@ def walk(spark):
 
 
 def test_construction(spark):
-    lists = [[39.984094, 116.319236, "2008-10-23 05:53:05", 1], [39.984198, 116.319322, "2008-10-23 05:53:05", 1]]
+    lists = [[47.5, 8.25, "2023-06-01 07:15:00", 1], [47.625, 8.5, "2023-06-01 07:15:00", 1]]
     df = schema.from_rows(spark, lists)
     assert dict(df.dtypes) == {"lat": "double", "lon": "double", "DateTime": "timestamp_ntz", "traj_id": "string", "row_id": "bigint"}
     assert schema.from_rows(spark, np.array(lists, dtype=object)).count() == 2
