@@ -2,15 +2,18 @@
 
 1. Pings are ordered by (key, time) in even blocks (``blocks.py``), so an animal with a third of all pings is
    spread over many tasks.
-2. Emissions: each ping is linked to the first of the next ``max_elsewhere + 1`` pings of its session that could
-   share its place (at most twice the radius away). Linked pings form a dwell; up to ``max_elsewhere`` pings
-   elsewhere are bridged. A dwell that fits no circle of the radius is cut where the place is left.
+2. Emissions: each ping is linked to all of the next ``max_elsewhere + 1`` pings of its session that could share
+   its place (at most twice the radius away). Linked pings form a component; up to ``max_elsewhere`` pings elsewhere
+   are bridged. A component that fits a circle of the radius (smallest enclosing circle) is a dwell, another is
+   cut into dwells where the place is left.
 3. Decoding: states are stop and travel, with explicit duration distributions. A stop's duration has no mass
    below ``min_stop_s``; travel is log-normal with a point mass at zero (one stop next to another) and is
-   censored at the ends of a session or block. Viterbi runs over segment ends: a stop segment is a dwell or,
-   where dwells overlap, a dwell cut at its rival's edge.
-4. Dwells that touch a block's edge are joined on the driver (at most ``max_elsewhere + 1`` per side and block)
-   and decoded there together with the dwells that overlap them.
+   censored at the ends of a stretch of overlapping dwells. Viterbi runs over segment ends: a stop segment is a
+   dwell or, where dwells overlap, a dwell cut at its rival's edge.
+4. Parts of components that touch a block's edge (at most ``max_elsewhere + 1`` per side and block) reach the driver
+   with their convex hulls and are joined there. A joined component that fits the circle and overlaps no other dwell
+   is a stop. The pings of all others are brought together, one group per stretch of overlapping components, and cut
+   and decoded by the same functions as inside a block, so results do not depend on where blocks are cut.
 5. Silences over ``session_gap_s`` split sessions before path totals. Path lengths are differences of a running
    length per key, carried from block to block.
 
@@ -32,11 +35,12 @@ from pathloom.functions.npgeo import haversine_m, text_time
 from pathloom.functions.times import micros
 from pathloom.operators.blocks import BLOCK, ROWS_PER_BLOCK, OrderedBlocks, edges, halos, reliable
 
-_EDGE = "k string, t long, lat double, lon double, path double, one boolean, _side string"
+_EDGE = "k string, t long, lat double, lon double, path double, one boolean, size long, _side string"
 _EVENT = (
     "k string, kind int, t0 long, t1 long, c0 double, c1 double, n long, "
-    "block int, unit int, into long, heads array<long>, sla double, slo double, hla array<double>, hlo array<double>"
+    "block int, unit int, into array<long>, heads array<long>, hla array<double>, hlo array<double>"
 )
+_KNOT = "k string, g long, m long, t long, lat double, lon double, c double, at long"
 _START, _STOP, _END, _OPEN = 0, 1, 2, 3
 
 # log-normal durations in minutes (median, sigma), the chance that a stop follows a stop at once, and the log
@@ -121,31 +125,175 @@ def decode(units: list[dict], begin: int, end: int, min_us: int) -> list[dict]:
     return chosen[::-1]
 
 
-def _by_place(idx: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius: float, max_elsewhere: int) -> list[np.ndarray]:
-    """Cuts a dwell whose place drifts: longest stretches from the left that keep within the radius."""
-    out, left = [], list(idx)
-    while left:
-        took, rest, missed, at = [left[0]], [], 0, 1
-        while at < len(left) and missed <= max_elsewhere:
-            grown = np.array(took + [left[at]])
-            la, lo = (lat[grown].min() + lat[grown].max()) / 2, (lon[grown].min() + lon[grown].max()) / 2
-            if haversine_m(la, lo, lat[grown], lon[grown]).max() <= radius:
-                took.append(left[at])
-                missed = 0
+_DEGREE_M = math.radians(6_371_000.0)
+
+
+def _flat(lat: np.ndarray, lon: np.ndarray, la0: float, lo0: float) -> tuple[np.ndarray, np.ndarray]:
+    """Metres east and north of a place nearby, the short way round."""
+    return ((lon - lo0 + 180) % 360 - 180) * (math.cos(math.radians(la0)) * _DEGREE_M), (lat - la0) * _DEGREE_M
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the convex hull. Points within the polygon of the furthest in 32 directions are left out first."""
+    at = np.arange(len(x))
+    if len(x) > 64:
+        turn = np.arange(32) * (2 * np.pi / 32)
+        far = [int((math.cos(a) * x + math.sin(a) * y).argmax()) for a in turn]
+        far = [f for f, g in zip(far, far[-1:] + far[:-1]) if f != g]
+        within = np.full(len(x), len(far) > 2)
+        for f, g in zip(far, far[1:] + far[:1]):
+            within &= (x[g] - x[f]) * (y - y[f]) - (y[g] - y[f]) * (x - x[f]) > 0
+        at = np.flatnonzero(~within)
+    points = sorted({(float(x[i]), float(y[i])): int(i) for i in at}.items())
+    if len(points) < 3:
+        return np.array([i for _, i in points])
+    rims = []
+    for line in (points, points[::-1]):
+        rim: list = []
+        for q in line:
+            while len(rim) > 1 and (rim[-1][0][0] - rim[-2][0][0]) * (q[0][1] - rim[-2][0][1]) - (rim[-1][0][1] - rim[-2][0][1]) * (q[0][0] - rim[-2][0][0]) <= 0:
+                rim.pop()
+            rim.append(q)
+        rims += rim[:-1]
+    return np.array([i for _, i in rims])
+
+
+def _circle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Smallest enclosing circle of a few points: centre and radius (incremental)."""
+    p = list(zip(x.tolist(), y.tolist()))
+    p = [p[i] for i in np.random.default_rng(0).permutation(len(p))]
+
+    def out(c, q):
+        return math.hypot(q[0] - c[0], q[1] - c[1]) > c[2] + 1e-9
+
+    def two(a, b):
+        return (a[0] + b[0]) / 2, (a[1] + b[1]) / 2, math.hypot(a[0] - b[0], a[1] - b[1]) / 2
+
+    def three(a, b, c):
+        bx, by, cx, cy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+        d = 2 * (bx * cy - by * cx)
+        if abs(d) < 1e-12:  # in a line
+            return max((two(a, b), two(a, c), two(b, c)), key=lambda t: t[2])
+        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        return a[0] + ux, a[1] + uy, math.hypot(ux, uy)
+
+    c = (*p[0], 0.0)
+    for i in range(1, len(p)):
+        if out(c, p[i]):
+            c = (*p[i], 0.0)
+            for j in range(i):
+                if out(c, p[j]):
+                    c = two(p[i], p[j])
+                    for m in range(j):
+                        if out(c, p[m]):
+                            c = three(p[i], p[j], p[m])
+    return c
+
+
+def _fits(lat: np.ndarray, lon: np.ndarray, radius: float) -> bool:
+    """Whether a circle of the radius holds all points."""
+    x, y = _flat(lat, lon, lat[0], lon[0])
+    if max(np.ptp(x), np.ptp(y)) > 2 * radius + 1e-6:
+        return False
+    if np.hypot(x - x.mean(), y - y.mean()).max() <= radius:
+        return True
+    h = _hull(x, y)
+    return _circle(x[h], y[h])[2] <= radius + 1e-6
+
+
+def _by_place(lat: np.ndarray, lon: np.ndarray, radius: float, max_elsewhere: int) -> list[np.ndarray]:
+    """Cuts a component whose place drifts: longest stretches from the left that a circle of the radius holds."""
+    out, start, n = [], 0, len(lat)
+    while start < n:
+        took, missed, at, step = [np.array([start])], 0, start + 1, 16
+        last, cx, cy, r = start, 0.0, 0.0, 0.0
+        px, py = np.zeros(1), np.zeros(1)  # what the circle has to hold
+        while at < n and missed <= max_elsewhere:
+            x, y = _flat(lat[at : at + step], lon[at : at + step], lat[start], lon[start])
+            d = np.hypot(x - cx, y - cy)
+            outside = np.flatnonzero(d > r + 1e-6)
+            f = int(outside[0]) if len(outside) else len(x)
+            if f:
+                took.append(np.arange(at, at + f))
+                px, py = np.r_[px, x[:f]], np.r_[py, y[:f]]
+                last, missed = at + f - 1, 0
+                if len(px) > 4096:
+                    h = _hull(px, py)
+                    px, py = px[h], py[h]
+            at += f
+            if f == len(x):
+                step = min(2 * step, 2048)
+                continue
+            step, grown = 16, None
+            if d[f] ** 2 + r * r <= 4 * radius * radius + 1e-3:  # else some held point is too far from this one
+                h = _hull(px, py)
+                px, py = px[h], py[h]
+                grown = _circle(np.r_[px, x[f]], np.r_[py, y[f]])
+            if grown is not None and grown[2] <= radius + 1e-6:
+                cx, cy, r = grown
+                px, py = np.r_[px, x[f]], np.r_[py, y[f]]
+                took.append(np.array([at]))
+                last, missed = at, 0
             else:
-                rest.append(left[at])
                 missed += 1
             at += 1
-        out.append(np.array(took))
-        left = [i for i in rest if i > took[-1]] + left[at:]
+        out.append(np.concatenate(took))
+        start = last + 1
+    return out
+
+
+def _components(near: list[np.ndarray], n: int) -> np.ndarray:
+    """Labels of connected rows; ``near[d - 1][i]``: whether rows ``i`` and ``i + d`` are linked."""
+    root = np.arange(n)
+    for d in range(len(near), 0, -1):
+        i = np.flatnonzero(near[d - 1])
+        root[i] = i + d
+    while True:
+        nxt = root[root]
+        if np.array_equal(nxt, root):
+            break
+        root = nxt
+    pairs = [np.c_[root[i], root[i + d]] for d in range(2, len(near) + 1) for i in [np.flatnonzero(near[d - 1])]]
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), int)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    if len(pairs):
+        parent: dict[int, int] = {}
+        for a, b in pairs.tolist():
+            a, b = _find(parent, a), _find(parent, b)
+            if a != b:
+                parent[a] = b
+        label = np.arange(n)
+        for a in list(parent):
+            label[a] = _find(parent, a)
+        root = label[root]
+    return root
+
+
+def _find(parent: dict[int, int], i: int) -> int:
+    top = i
+    while top in parent:
+        top = parent[top]
+    while i != top:
+        parent[i], i = top, parent[i]
+    return top
+
+
+def _stretches(units: list[dict]) -> list[list[dict]]:
+    """Units grouped where they overlap in time."""
+    out: list[list[dict]] = []
+    top = None
+    for u in sorted(units, key=lambda u: (u["t0"], u["t1"])):
+        if top is not None and u["t0"] <= top:
+            out[-1].append(u)
+            top = max(top, u["t1"])
+        else:
+            out.append([u])
+            top = u["t1"]
     return out
 
 
-def _outermost(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """The furthest points in 32 directions: what a circle around a dwell has to hold, to half a per cent."""
-    turn = np.arange(32) * (2 * np.pi / 32)
-    x, y = (lon - lon[0]) * np.cos(np.radians(lat[0])), lat - lat[0]
-    return np.unique((np.outer(np.cos(turn), x) + np.outer(np.sin(turn), y)).argmax(axis=1))
+def _decoded(units: list[dict], min_us: int) -> list[dict]:
+    return [c for us in _stretches(units) for c in decode(us, us[0]["t0"], max(u["t1"] for u in us), min_us)]
 
 
 def _dedupe(block: pd.DataFrame) -> pd.DataFrame:
@@ -190,13 +338,13 @@ def stops_and_trips(
         mine = k == k[-1]
         out = edges(d[["k", "t", "lat", "lon"]], reach)
         out["path"] = float(_steps(k, d["lat"].to_numpy(), d["lon"].to_numpy())[mine].sum())
-        out["one"] = bool(mine.all())
-        return out[["k", "t", "lat", "lon", "path", "one", "_side"]]
+        out["one"], out["size"] = bool(mine.all()), len(d)
+        return out[["k", "t", "lat", "lon", "path", "one", "size", "_side"]]
 
     reports = blocks.reports(report, _EDGE)
     around = halos(reports[[BLOCK, "k", "t", "lat", "lon", "_side"]], reach)
     carry: dict[int, float] = {}
-    before = None
+    before, offset, rows_before = None, {}, 0
     for b, g in reports.groupby(BLOCK):
         head, tail = g[g["_side"] == "a"].iloc[0], g[g["_side"] == "z"].iloc[-1]
         carry[int(b)] = 0.0
@@ -204,8 +352,11 @@ def stops_and_trips(
             step = float(haversine_m(before["lat"], before["lon"], head["lat"], head["lon"]))
             carry[int(b)] = (carry[before["b"]] if before["one"] else 0.0) + before["path"] + step
         before = tail.to_dict() | {"b": int(b)}
+        offset[int(b)] = rows_before
+        rows_before += int(head["size"])
 
-    def work(block: pd.DataFrame, number: int) -> pd.DataFrame:
+    def parts(block: pd.DataFrame, number: int):
+        """A block's rows with their neighbours, its stops' candidates and what other blocks have to say about."""
         own = _dedupe(block)[["k", "t", "lat", "lon"]]
         lead, trail = around[number]
         x = pd.concat([lead, own, trail], ignore_index=True)
@@ -227,18 +378,48 @@ def stops_and_trips(
         brk = new_key.copy()
         brk[1:] |= (t[1:] - t[:-1]) > gap_us
         sess = np.cumsum(brk)
-        link = np.full(n, -1)
-        for d in range(reach, 0, -1):
-            i = np.arange(a, min(z, n - d))
-            if len(i):
-                near = (sess[i] == sess[i + d]) & (haversine_m(la[i], lo[i], la[i + d], lo[i + d]) <= 2 * radius_m)
-                link[i[near]] = i[near] + d
-        root = np.where(link >= 0, link, np.arange(n))
-        while True:
-            nxt = root[root]
-            if np.array_equal(nxt, root):
+        near, heads, into, spans = [], [], [], []
+        for d in range(1, reach + 1):
+            i = np.arange(max(n - d, 0))
+            ok = (sess[i] == sess[i + d]) & (haversine_m(la[i], lo[i], la[i + d], lo[i + d]) <= 2 * radius_m)
+            i = i[ok]
+            heads.append(i[(i < a) & (i + d >= a) & (i + d < z)] + d)
+            into.append(np.c_[i, i + d][(i >= a) & (i < z) & (i + d >= z)])
+            inner = np.zeros(z - a, bool)
+            inner[i[(i >= a) & (i + d < z)] - a] = True
+            near.append(inner)
+            spans += [(int(s), -math.inf, math.inf) for s in sess[i[(i < a) & (i + d >= z)]]]  # over a block of a few rows
+        heads, into = np.unique(np.concatenate(heads)), np.concatenate(into)
+        root = _components(near, z - a) + a
+        order = np.argsort(root, kind="stable") + a
+        cuts = np.flatnonzero(np.diff(root[order - a])) + 1
+        lo_of, hi_of = np.r_[0, cuts], np.r_[cuts, len(order)]
+        i0, i1 = order[lo_of], order[hi_of - 1]
+        from_before, to_after = np.isin(root[i0 - a], root[heads - a]), np.isin(root[i0 - a], root[into[:, 0] - a])
+        opens, units = [], []
+        # only what may become a stop is looked at ping by ping
+        for g in np.flatnonzero(from_before | to_after | ((t[i1] - t[i0]) >= min_us)):
+            idx = order[lo_of[g] : hi_of[g]]
+            if from_before[g] or to_after[g]:
+                targets = into[root[into[:, 0] - a] == root[idx[0] - a], 1]
+                opens.append({"i": idx, "heads": t[heads[root[heads - a] == root[idx[0] - a]]].tolist(), "into": np.unique(t[targets]).tolist()})
+                spans.append((int(sess[idx[0]]), -math.inf if from_before[g] else int(t[idx[0]]), math.inf if to_after[g] else int(t[idx[-1]])))
+                continue
+            for p in [idx] if _fits(la[idx], lo[idx], radius_m) else [idx[q] for q in _by_place(la[idx], lo[idx], radius_m, max_elsewhere)]:
+                if t[p[-1]] - t[p[0]] >= min_us:
+                    units.append({"t0": int(t[p[0]]), "t1": int(t[p[-1]]), "n": len(p), "at": t[p], "i": p, "out": int(p[-1] - p[0] + 1 - len(p)), "s": int(sess[p[0]])})
+        free, tied = units, []
+        while True:  # what overlaps an open component, or a dwell that does, is decided outside the block
+            hit = [any(s == u["s"] and b <= u["t1"] and e >= u["t0"] for s, b, e in spans) for u in free]
+            if not any(hit):
                 break
-            root = nxt
+            new = [u for u, h in zip(free, hit) if h]
+            free, tied, spans = [u for u, h in zip(free, hit) if not h], tied + new, [(u["s"], u["t0"], u["t1"]) for u in new]
+        return k, t, la, lo, cum, brk, a, z, free, [*opens, *tied]
+
+    def work(block: pd.DataFrame, number: int) -> pd.DataFrame:
+        k, t, la, lo, cum, brk, a, z, free, pieces = parts(block, number)
+        n = len(k)
 
         def event(kind, i, j, pings=0, **more):
             return {"k": k[i], "kind": kind, "t0": int(t[i]), "t1": int(t[j]), "c0": float(cum[i]), "c1": float(cum[j]), "n": pings} | more
@@ -249,58 +430,52 @@ def stops_and_trips(
         last[-1] = z == n  # nothing follows the last ping of all
         out += [event(_END, i, i) for i in np.flatnonzero(last[a:z]) + a]
 
-        order = np.argsort(root[a:z], kind="stable") + a
-        cuts = np.flatnonzero(np.diff(root[order])) + 1
-        lo_of, hi_of = np.r_[0, cuts], np.r_[cuts, len(order)]
-        i0, i1 = order[lo_of], order[hi_of - 1]
-        open_unit = (root[i0] >= z) | (i0 < a + reach)
-        # only what may become a stop is looked at ping by ping
-        maybe = np.flatnonzero(open_unit | ((t[i1] - t[i0]) >= min_us))
-        units, opens = [], []
-        for g in maybe:
-            idx = order[lo_of[g] : hi_of[g]]
-            cla, clo = la[idx].mean(), lo[idx].mean()
-            parts = [idx] if haversine_m(cla, clo, la[idx], lo[idx]).max() <= radius_m else _by_place(idx, la, lo, radius_m, max_elsewhere)
-            for p in parts:
-                if p[0] < a + reach or (p[-1] == idx[-1] and root[p[0]] >= z):
-                    opens.append(p)
-                elif t[p[-1]] - t[p[0]] >= min_us:
-                    units.append({"t0": int(t[p[0]]), "t1": int(t[p[-1]]), "n": len(p), "at": t[p], "i": p, "out": int(p[-1] - p[0] + 1 - len(p)), "s": int(sess[p[0]])})
-        spans = [(int(sess[o[0]]), int(t[o[0]]), np.iinfo("int64").max if root[o[0]] >= z else int(t[o[-1]])) for o in opens]
-
-        def opened(idx, number_of, into, heads):
-            far = _outermost(la[idx], lo[idx])
-            return event(_OPEN, idx[0], idx[-1], len(idx), block=number, unit=number_of, into=into, heads=heads, sla=la[idx].sum(), slo=lo[idx].sum(), hla=la[idx][far].tolist(), hlo=lo[idx][far].tolist())
-
-        contested = lambda u: any(s == u["s"] and b <= u["t1"] and e >= u["t0"] for s, b, e in spans)
-        free: dict[int, list[dict]] = {}
-        tied = []
-        for u in units:
-            (tied if contested(u) else free.setdefault(u["s"], [])).append(u)
-        heads = set(range(a, min(a + reach, z)))
-        for m, idx in enumerate([*opens, *(u["i"] for u in tied)]):
-            into = int(t[link[idx[-1]]]) if link[idx[-1]] >= z else None
-            out.append(opened(idx, m, into, [int(t[i]) for i in idx if i in heads]))
-        edge_of = np.searchsorted(sess, np.arange(sess[-1] + 2))  # where each session begins here
-        for s, us in free.items():
-            for c in decode(us, int(t[edge_of[s]]), int(t[edge_of[s + 1] - 1]), min_us):
+        for m, u in enumerate(pieces):
+            idx = u["i"]
+            far = idx[_hull(*_flat(la[idx], lo[idx], la[idx[0]], lo[idx[0]]))]
+            out.append(event(_OPEN, idx[0], idx[-1], len(idx), block=number, unit=m, into=u.get("into", []), heads=u.get("heads", []), hla=la[far].tolist(), hlo=lo[far].tolist()))
+        for us in [[u for u in free if u["s"] == s] for s in dict.fromkeys(u["s"] for u in free)]:
+            for c in _decoded(us, min_us):
                 i, j = np.searchsorted(t[c["i"]], (c["t0"], c["t1"]))
                 out.append(event(_STOP, c["i"][i], c["i"][j], c["n"]))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _EVENT.split(", ")])
-        for c in ("block", "unit", "into"):
+        for c in ("block", "unit"):
             frame[c] = frame[c].astype("Int64")
-        for c in ("heads", "hla", "hlo"):
+        for c in ("into", "heads", "hla", "hlo"):
             frame[c] = pd.Series([h if isinstance(h, list) else None for h in frame[c]], dtype=object)
         return frame
 
     events = reliable(blocks.map(work, _EVENT))
-    pieces = events.where(F.col("kind") == _OPEN).orderBy("block", "unit").toPandas()  # bounded by blocks x 2(reach)
-    joined = _join_pieces(pieces, radius_m, min_us)
+    pieces = events.where(F.col("kind") == _OPEN).orderBy("block", "unit").toPandas()  # 2 reach a block, and the dwells that overlap them
+    joined, knots = _join_pieces(pieces, radius_m, min_us)
     spark = df.sparkSession
     plain = ["k", "kind", "t0", "t1", "c0", "c1"]
     marks = events.where(F.col("kind") != _OPEN).select(plain)
     if joined:
         marks = marks.unionByName(spark.createDataFrame([[u[c] for c in plain] for u in joined], "k string, kind int, t0 long, t1 long, c0 double, c1 double"))
+    if knots:
+
+        def gather(block: pd.DataFrame, number: int) -> pd.DataFrame:
+            if number not in knots:
+                return pd.DataFrame({c.split()[0]: [] for c in _KNOT.split(", ")})
+            k, t, la, lo, cum, _, a, _, _, pieces = parts(block, number)
+            units, places = zip(*knots[number].items())
+            i = np.concatenate([pieces[u]["i"] for u in units])
+            g, m = np.repeat(np.array(places), [len(pieces[u]["i"]) for u in units], axis=0).T
+            return pd.DataFrame({"k": k[i], "g": g, "m": m, "t": t[i], "lat": la[i], "lon": lo[i], "c": cum[i], "at": offset[number] + i - a})
+
+        def untie(g: pd.DataFrame) -> pd.DataFrame:
+            units = []
+            for _, x in g.sort_values("t").groupby("m"):
+                t, la, lo, c, at = (x[n].to_numpy() for n in ("t", "lat", "lon", "c", "at"))
+                for p in _by_place(la, lo, radius_m, max_elsewhere):
+                    if t[p[-1]] - t[p[0]] >= min_us:
+                        units.append({"t0": int(t[p[0]]), "t1": int(t[p[-1]]), "n": len(p), "at": t[p], "c": c[p], "out": int(at[p[-1]] - at[p[0]] + 1 - len(p))})
+            out = [(g["k"].iloc[0], _STOP, u["t0"], u["t1"], *u["c"][np.searchsorted(u["all"], (u["t0"], u["t1"]))]) for u in _decoded([u | {"all": u["at"]} for u in units], min_us)]
+            return pd.DataFrame(out, columns=plain)
+
+        untied = blocks.map(gather, _KNOT).groupBy("g").applyInPandas(untie, "k string, kind int, t0 long, t1 long, c0 double, c1 double")
+        marks = marks.unionByName(untied)
     w = Window.partitionBy("k").orderBy("t0", "kind", "t1")
     # a key's marks only (some per cent of its pings); the window streams over them
     seq = marks.withColumns({"p1": F.lag("t1").over(w), "pc": F.lag("c1").over(w)})
@@ -316,42 +491,34 @@ def stops_and_trips(
     )
 
 
-def _join_pieces(pieces: pd.DataFrame, radius_m: float, min_us: int) -> list[dict]:
-    """Joins dwells across blocks and decodes the stretches they take part in."""
-    if not len(pieces):
-        return []
+def _join_pieces(pieces: pd.DataFrame, radius_m: float, min_us: int) -> tuple[list[dict], dict[int, dict[int, tuple[int, int]]]]:
+    """Joins components across blocks. Returns the stops that are plain already, and for the rest ``{block: {unit:
+    (stretch, component)}}``: the pieces whose pings have to come together."""
     p = pieces.to_dict("records")
-    parent = list(range(len(p)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    by_head = {(u["k"], h): i for i, u in enumerate(p) for h in (u["heads"] if u["heads"] is not None else [])}
+    parent: dict[int, int] = {}
+    by_head = {(u["k"], int(h)): i for i, u in enumerate(p) for h in u["heads"]}
+    for i, u in enumerate(p):
+        for t in u["into"]:
+            a, b = _find(parent, i), _find(parent, by_head[u["k"], int(t)])
+            if a != b:
+                parent[b] = a
+    members: dict[int, list[dict]] = {}
     for i, u in enumerate(p):
-        if not pd.isna(u["into"]) and (j := by_head.get((u["k"], int(u["into"])))) is not None:
-            ri, rj = find(i), find(j)
-            if ri == rj:
+        members.setdefault(_find(parent, i), []).append(u)
+    whole: dict[str, list[dict]] = {}
+    for us in members.values():
+        early, late = min(us, key=lambda u: u["t0"]), max(us, key=lambda u: u["t1"])
+        if late["t1"] - early["t0"] >= min_us:
+            whole.setdefault(early["k"], []).append({"k": early["k"], "t0": early["t0"], "c0": early["c0"], "t1": late["t1"], "c1": late["c1"], "of": us})
+    stops, knots, stretch, component = [], {}, 0, 0
+    for us in whole.values():
+        for some in _stretches(us):
+            if len(some) == 1 and _fits(*(np.concatenate([np.asarray(u[c], float) for u in some[0]["of"]]) for c in ("hla", "hlo")), radius_m):
+                stops.append(some[0] | {"kind": _STOP})
                 continue
-            m, o = p[ri], p[rj]
-            n, sla, slo = m["n"] + o["n"], m["sla"] + o["sla"], m["slo"] + o["slo"]
-            hla, hlo = np.r_[m["hla"], o["hla"]], np.r_[m["hlo"], o["hlo"]]
-            if haversine_m(sla / n, slo / n, hla, hlo).max() <= radius_m:
-                far = _outermost(hla, hlo)
-                early, late = (m, o) if m["t0"] <= o["t0"] else (o, m)
-                end = m if m["t1"] >= o["t1"] else o
-                m |= {"n": n, "sla": sla, "slo": slo, "hla": hla[far], "hlo": hlo[far], "t0": early["t0"], "c0": early["c0"], "t1": end["t1"], "c1": end["c1"]}
-                parent[rj] = ri
-    roots = [p[i] for i in range(len(p)) if find(i) == i]
-    roots = sorted((u for u in roots if u["t1"] - u["t0"] >= min_us), key=lambda u: (u["k"], u["t0"]))
-    out, at = [], 0
-    while at < len(roots):
-        end, top = at + 1, roots[at]["t1"]
-        while end < len(roots) and roots[end]["k"] == roots[at]["k"] and roots[end]["t0"] <= top:
-            top = max(top, roots[end]["t1"])
-            end += 1
-        out += decode([dict(u, at=None, out=0) for u in roots[at:end]], roots[at]["t0"], top, min_us)
-        at = end
-    return [u | {"kind": _STOP} for u in out]
+            for m in some:
+                for u in m["of"]:
+                    knots.setdefault(int(u["block"]), {})[int(u["unit"])] = (stretch, component)
+                component += 1
+            stretch += 1
+    return stops, knots

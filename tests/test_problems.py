@@ -73,6 +73,20 @@ def test_stops_and_trips(spark, per_block):
     assert set(got) == brute.stops_and_trips(df.toPandas())
 
 
+def _pings(spark, east_m, every_s=240):
+    t0 = dt.datetime(2024, 1, 1)
+    deg = np.degrees(np.asarray(east_m, float) / 6371000)
+    return spark.createDataFrame([(i, "a", t0 + dt.timedelta(seconds=every_s * i), 0.0, float(x)) for i, x in enumerate(deg)], PING)
+
+
+@pytest.mark.parametrize("per_block", [1000, 5])
+@pytest.mark.parametrize("pings", [10, 5])
+def test_a_gradual_excursion_does_not_end_a_stop(spark, per_block, pings):
+    x = [0.0] * pings + [50.0, 100.0] + [0.0] * pings
+    got = rows(stops.stops_and_trips(_pings(spark, x), rows_per_block=per_block), "kind", "start_at", "duration_s")
+    assert got == [("stop", "2024-01-01 00:00:00", 240.0 * (len(x) - 1))]
+
+
 def test_trip_distance_is_the_path(spark):
     t0 = dt.datetime(2024, 1, 1)
     at = [(0, 0.0)] * 6 + [(0, 0.01 * i) for i in range(1, 6)] + [(0, 0.06)] * 6
