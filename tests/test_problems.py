@@ -87,6 +87,35 @@ def test_a_gradual_excursion_does_not_end_a_stop(spark, per_block, pings):
     assert got == [("stop", "2024-01-01 00:00:00", 240.0 * (len(x) - 1))]
 
 
+@pytest.mark.parametrize("per_block", [1000, 60])
+def test_an_uneven_stop_is_one_stop_wherever_blocks_are_cut(spark, per_block):
+    x = [0.0] * 200 + [50.0] * 5
+    got = rows(stops.stops_and_trips(_pings(spark, x), rows_per_block=per_block), "kind", "start_at", "duration_s")
+    assert got == [("stop", "2024-01-01 00:00:00", 240.0 * 204)]
+
+
+def test_stops_do_not_depend_on_where_blocks_are_cut(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.r_[rng.normal(p, 9, rng.integers(3, 30)), p + np.cumsum(rng.uniform(10, 50, rng.integers(0, 6)))] for p in np.cumsum(rng.choice([35.0, 45.0, 70.0, -40.0, 300.0], 60))])
+    df = _pings(spark, x)
+    cols = ("kind", "start_at", "end_at", "duration_s")
+    whole = set(rows(stops.stops_and_trips(df, rows_per_block=10_000), *cols))
+    assert len(whole) > 50
+    for per_block in (300, 41, 9):
+        assert set(rows(stops.stops_and_trips(df, rows_per_block=per_block), *cols)) == whole
+
+
+def test_smallest_enclosing_circle():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 7, 500):
+        x, y = rng.normal(0, 5, n), rng.normal(0, 9, n)
+        h = stops._hull(x, y)
+        cx, cy, r = stops._circle(x[h], y[h])
+        d = np.hypot(x - cx, y - cy)
+        assert d.max() == pytest.approx(r, abs=1e-6)
+        assert all(np.hypot(x - cx - a, y - cy - b).max() >= r - 1e-6 for a, b in rng.normal(0, 0.5, (200, 2)))
+
+
 def test_trip_distance_is_the_path(spark):
     t0 = dt.datetime(2024, 1, 1)
     at = [(0, 0.0)] * 6 + [(0, 0.01 * i) for i in range(1, 6)] + [(0, 0.06)] * 6
