@@ -190,6 +190,23 @@ def test_grid_in_blocks_equals_the_whole(spark):
         assert r["lat"] == pytest.approx(w["lat"], abs=1e-7) and r["lat_sd"] == pytest.approx(w["lat_sd"], abs=1e-9)
 
 
+def test_grid_of_a_dense_source_in_blocks_equals_the_whole(spark):
+    """Blocks within one period, a reading every few seconds, repeats, and a way over the 180th meridian."""
+    rng = np.random.default_rng(3)
+    at = np.repeat(np.sort(rng.choice(60_000, 1500, replace=False)), rng.choice([1, 1, 40], 1500))
+    t0 = dt.datetime(2024, 1, 1, 1)
+    data = [(i, "ab"[int(s > 50_000)], t0 + dt.timedelta(seconds=int(s)), float(20 + s / 30_000 + e), float((179.5 + s / 50_000 + f + 180) % 360 - 180)) for i, (s, e, f) in enumerate(zip(at, *rng.normal(0, 0.02, (2, len(at)))))]
+    df = spark.createDataFrame(data, PING)
+    whole = {(r["traj_id"], r["slot"]): r for r in regrid.regular_grid(df, rows_per_block=10**6).collect()}
+    cut = regrid.regular_grid(df, rows_per_block=1200).collect()
+    assert len(cut) == len(whole) and sum(r["n_readings"] for r in cut) == len(data)
+    for r in cut:
+        w = whole[r["traj_id"], r["slot"]]
+        assert r["n_readings"] == w["n_readings"]
+        for c in ("lat", "lon", "lat_sd"):
+            assert r[c] == pytest.approx(w[c], abs=1e-8)
+
+
 def test_smoother_against_dense_least_squares():
     """The smoothed mean equals the posterior mean of the same Gaussian model solved densely."""
     t = np.array([0.0, 1.0, 2.5, 3.0, 7.0])
