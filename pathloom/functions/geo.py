@@ -91,18 +91,25 @@ def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.radians(lon) * r, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * r
 
 
+def _columns(cell: float) -> tuple[int, float]:
+    """Columns of a grid around the globe and their width, at least ``cell``: whole columns only, so that both sides of
+    the 180th meridian count alike."""
+    turn = max(math.floor(360 / cell), 1)
+    return turn, 360 / turn
+
+
 def grid_cells(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column, cell: float) -> Column:
     """The cells ``struct(cy, cx)`` of a grid of ``cell`` degrees that a box meets; longitudes wrap around."""
-    turn = math.ceil(360 / cell)
+    turn, wide = _columns(cell)
     rows = F.sequence(F.floor(F.greatest(min_lat, F.lit(-90.0)) / cell), F.floor(F.least(max_lat, F.lit(90.0)) / cell))
-    from_x, to_x = F.floor(min_lon / cell), F.floor(max_lon / cell)
+    from_x, to_x = F.floor(min_lon / wide), F.floor(max_lon / wide)
     cols = F.array_distinct(F.transform(F.sequence(from_x, F.least(to_x, from_x + turn)), lambda i: F.pmod(i, F.lit(turn))))
     return F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: F.struct(y.cast("int").alias("cy"), x.cast("int").alias("cx")))))
 
 
 def grid_cell(lat: Column, lon: Column, cell: float) -> Column:
-    turn = math.ceil(360 / cell)
-    return F.struct(F.floor(lat / cell).cast("int").alias("cy"), F.pmod(F.floor(lon / cell), F.lit(turn)).cast("int").alias("cx"))
+    turn, wide = _columns(cell)
+    return F.struct(F.floor(lat / cell).cast("int").alias("cy"), F.pmod(F.floor(lon / wide), F.lit(turn)).cast("int").alias("cx"))
 
 
 def cell_for(widest: float | None, parts: int = 8) -> float:

@@ -256,6 +256,16 @@ def test_grouped_quantiles(spark):
             assert got[k] == pytest.approx(list(np.quantile(v[g == k], [0.0, 0.1, 0.5, 0.75, 1.0])))
 
 
+@pytest.mark.parametrize("cell", [None, 0.07])
+def test_rings_across_the_180th_meridian(spark, cell):
+    far = [1000.0 * i for i in range(20, 61)]
+    places = spark.createDataFrame([(0.0, side * 179.99, x) for x in far for side in (1, -1)], "lat double, lon double, far double")
+    deg = [math.degrees(x / 6371000) for x in far]
+    over = [("e", i, 0.0, 179.99 + d - 360) for i, d in enumerate(deg)] + [("w", i, 0.0, 360 - 179.99 - d) for i, d in enumerate(deg)]
+    near = C.visited_poi(points(spark, over), places, "far", 10.0, cell)
+    assert near.where("Nearby_POI").count() == near.count() == 2 * len(far)
+
+
 def test_context(walk, spark):
     layers = spark.createDataFrame([("lake", 0.001, 0.001), ("lake", 0.001, 0.001), ("hut", 5.0, 5.0)], "name string, lat double, lon double")
     assert {r["row_id"]: r["Visited_lake"] for r in C.visited_location(walk, layers, "lake", "name").collect()} == {i: int(i in (2, 3)) for i in range(8)}
