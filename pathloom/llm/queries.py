@@ -36,4 +36,16 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
-ORACLES: dict[str, str] = {}
+# the share of letters and digits that lie in a stretch of 40 which also starts earlier
+_SHARES = r"""
+WITH r AS (SELECT doc_id, coalesce(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), '') AS s FROM documents),
+g AS (SELECT doc_id, s, unnest(generate_series(1, length(s) - 39)) AS i FROM r WHERE length(s) > 40),
+f AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, substr(s, i, 40)) AS m FROM g),
+again AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -40) AS p FROM f WHERE i > m),
+covered AS (SELECT doc_id, sum(least(40, i - p)) AS n FROM again GROUP BY doc_id),
+shares AS (SELECT doc_id, length(s) AS n_chars, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE n::DOUBLE / length(s) END AS share FROM r LEFT JOIN covered USING (doc_id))
+"""
+ORACLES: dict[str, str] = {
+    "p10_found": _SHARES + "SELECT doc_id FROM shares WHERE share >= 0.3",
+    "p10_shares": _SHARES + "SELECT doc_id, n_chars, share FROM shares",
+}

@@ -8,8 +8,8 @@ Where only texts above a share are wanted, a short-circuit cascade runs first. E
 cannot reach the share, so the result is exact in any order: a stretch of ``span`` repeated characters contains
 ``span - g + 1`` g-grams that are no first occurrences, so a text with too few such g-grams is out. The number
 of distinct g-grams is bounded from below by the bits set in a hashed bitmap, without sorting. Cost and
-selectivity of the rules are measured on a bounded sample, and the rules are ordered by rejections per cost among
-what the rules before them leave over.
+selectivity of the rules are measured by every task on a sample, its first ``SAMPLE_DOCS`` whole texts, and the rules
+are then ordered by rejections per cost among what the rules before them leave over; nothing is read twice.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.tokenizer import spread
 
 SPAN = 40
-SAMPLE_DOCS = 400  # bound of the sample on which the rules are measured
+SAMPLE_DOCS = 100  # texts on which a task measures the rules
 _OTHER = re.compile(r"[\W_]+")
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -119,26 +119,28 @@ def order_rules(measured: list[list[tuple[float, bool]]], names: list[str]) -> l
     return out or names[:1]
 
 
-def _measure(rows: DataFrame, at_least: float, span: int) -> list[str]:
-    """The order of the rules, from whole texts of a bounded sample; only times and verdicts reach the driver."""
-    named = rules(span)
+class Cascade:
+    """The rules, measured on the first texts and then in the order found."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            out = []
-            for t in d["text"]:
-                s, times, hits = reduce_text(t), [], []
-                for rule in named.values():
-                    begun = time.perf_counter()
-                    hits.append(bool(rule(s, at_least)))
-                    times.append(time.perf_counter() - begun)
-                out.append((times, hits))
-            yield pd.DataFrame(out, columns=["seconds", "hits"])
+    def __init__(self, at_least: float, span: int, sample: int = SAMPLE_DOCS):
+        self.at_least, self.named, self.sample = at_least, rules(span) if at_least > 0 else {}, sample
+        self.measured: list[list[tuple[float, bool]]] = []
+        self.order: list[Callable[[str, float], bool]] | None = None
 
-    # the smallest hashes: a sample that does not depend on partitions
-    picked = rows.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
-    got = picked.mapInPandas(run, "seconds array<double>, hits array<boolean>").collect()
-    return order_rules([list(zip(r["seconds"], r["hits"])) for r in got], list(named))
+    def rejects(self, s: str) -> bool:
+        if not self.named:
+            return False
+        if self.order is not None:
+            return any(rule(s, self.at_least) for rule in self.order)
+        verdicts = []
+        for rule in self.named.values():
+            begun = time.perf_counter()
+            hit = bool(rule(s, self.at_least))
+            verdicts.append((time.perf_counter() - begun, hit))
+        self.measured.append(verdicts)
+        if len(self.measured) >= self.sample:
+            self.order = [self.named[n] for n in order_rules(self.measured, list(self.named))]
+        return any(hit for _, hit in verdicts)
 
 
 def repetition(docs: DataFrame, at_least: float = 0.0, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -148,17 +150,14 @@ def repetition(docs: DataFrame, at_least: float = 0.0, doc_id: str = "doc_id", t
     exact count. Null and empty texts have share 0. Whole texts are read, however long.
     """
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    cascade: list[Callable[[str, float], bool]] = []
-    if at_least > 0:
-        named = rules(span)
-        cascade = [named[r] for r in _measure(rows, at_least, span)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cascade = Cascade(at_least, span)
         for d in batches:
             out = []
             for i, t in zip(d["doc_id"], d["text"]):
                 s = reduce_text(t if isinstance(t, str) else None)
-                if any(rule(s, at_least) for rule in cascade):
+                if cascade.rejects(s):
                     continue
                 share = repeated_share(s, span)
                 if share >= at_least:

@@ -155,11 +155,10 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[st
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a plain scan has fewer tasks than that (a small file); else untouched."""
-    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString():  # asking for its partitions would run it
-        return df
-    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+    """Rows over all cores where a table has fewer files than that (a file is the least a scan splits for certain); else
+    untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -176,8 +175,9 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
-def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` and ``tokens``, the number of token ids of the text."""
+def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, few: bool = True) -> DataFrame:
+    """The columns ``keep`` and ``tokens``, the number of token ids of the text. ``few``: whether the rows come from a scan
+    that may have too few tasks."""
     table = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)).parts())
     schema = docs.select(keep).schema.add("tokens", "long")
 
@@ -187,4 +187,5 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabular
             n = [len(e.encode(t)) if isinstance(t, str) else 0 for t in d["_text"]]
             yield d[keep].assign(tokens=np.asarray(n, "int64"))
 
-    return spread(docs.select(*keep, F.col(text).cast("string").alias("_text"))).mapInPandas(run, schema)
+    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    return (spread(rows) if few else rows).mapInPandas(run, schema)
