@@ -14,6 +14,7 @@ executor costs only its tasks. Reports are bounded by the number of blocks times
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,15 +25,28 @@ from pyspark.sql import functions as F
 
 BLOCK = "_block"
 ROWS_PER_BLOCK = 150_000
-MAX_BLOCKS = 100_000
+
+
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names; a folder of its own only where none is named (tests)."""
+    """Checkpoint in the folder that the cluster names (``spark.checkpoint.dir`` of the session). A folder of its own is
+    taken only where none is named and all of Spark is one process (tests); elsewhere that is an error, because one
+    machine's folder is not another's. The files go when nothing refers to them any more."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathloom-"))
-    return df.checkpoint()
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathloom-"))
+    conf = sc._jsc.sc().conf()
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")  # read when the checkpoint is written
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(_CLEAN, before)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -42,14 +56,14 @@ def shuffle_partitions(df: DataFrame) -> int:
 class OrderedBlocks:
     """``df`` sorted by ``place + ties``; rows equal in ``place`` are always in one block.
 
-    The number of blocks follows the number of rows: at least the session's shuffle partitions, at most
-    ``MAX_BLOCKS`` (beyond which blocks grow).
+    The number of blocks follows the number of rows: at least the session's shuffle partitions, and no block grows
+    with the table.
     """
 
     def __init__(self, df: DataFrame, place: list[str], ties: list[str], keep: list[str] | None = None, rows_per_block: int = ROWS_PER_BLOCK):
         rows = df.count()
         # the parallelism of the session for a small table, but no block under a few thousand rows
-        n = min(MAX_BLOCKS, max(math.ceil(rows / rows_per_block), min(shuffle_partitions(df), math.ceil(rows / 4000)), 1))
+        n = max(math.ceil(rows / rows_per_block), min(shuffle_partitions(df), math.ceil(rows / 4000)), 1)
         self.columns = keep or df.columns
         self.data = reliable(
             df.repartitionByRange(n, *place)
