@@ -1,11 +1,14 @@
 """Per-key results without imbalance: multi-level tree aggregation.
 
-The table is range-partitioned on (key, time, row id), so chunks are even although a few keys hold most rows.
-Within a partition every Arrow batch (a chunk of fixed size) is combined into one state per key and appended
-to the open state of its key. Only a partition's first and last key can go on in another partition; their
-states (two per partition at most) are merged in rounds of ``fan_in`` neighbours each, so the number of
-rounds is logarithmic in the number of partitions and no reducer ever gets more than ``fan_in`` states of a key.
-The state keeps first and last point, so order-dependent results (path length) merge as well as sums do.
+Counts, first and last time need no order. Input chunks (the scan's splits, whose size is fixed) are combined where they
+are read; the states, one per key and chunk, are merged in rounds of ``fan_in`` chunks each, so the number of rounds is
+logarithmic in the number of chunks, no reducer ever gets more than ``fan_in`` states of a key, and no row is shuffled.
+
+Path lengths need the order of time. Only where they are asked for, the table is range-partitioned on (key, time, row
+id), so chunks are even although a few keys hold most rows. Within a partition every Arrow batch is combined into one
+state per key and appended to the open state of its key. Only a partition's first and last key can go on in another
+partition; their states (two per partition at most) are merged in the same rounds of ``fan_in`` neighbours. The state
+keeps first and last point, so path lengths merge as well as sums do.
 """
 
 from __future__ import annotations
@@ -116,6 +119,21 @@ def _merged(states: Column) -> Column:
     return F.aggregate(F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(1))), F.element_at(states, 1), join)
 
 
+def _unordered(pings: DataFrame, fan_in: int) -> DataFrame:
+    """``k, n, points, t0, t1`` of every key by rounds over the chunks of the input."""
+    point = F.col("t").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    chunks = pings.select("k", F.spark_partition_id().alias("slot"), F.when(point, F.col("t")).alias("t"))
+    merge = [F.sum("n").alias("n"), F.sum("points").alias("points"), F.min("t0").alias("t0"), F.max("t1").alias("t1")]
+    first = chunks.withColumn("slot", F.floor(F.col("slot") / fan_in).cast("int")).groupBy("k", "slot")
+    # written once: few rows, and their chunks tell how many rounds are needed
+    up = reliable(first.agg(F.count("*").alias("n"), F.count("t").alias("points"), F.min("t").alias("t0"), F.max("t").alias("t1")))
+    span = (up.agg(F.max("slot")).first()[0] or 0) + 1
+    while span > 1:
+        span = math.ceil(span / fan_in)
+        up = up.withColumn("slot", F.floor(F.col("slot") / fan_in).cast("int")).groupBy("k", "slot").agg(*merge)
+    return up.drop("slot")
+
+
 def tree_profile(
     df: DataFrame,
     key: str = "traj_id",
@@ -125,34 +143,34 @@ def tree_profile(
     row_id: str = "row_id",
     fan_in: int = 16,
     rows_per_partition: int = ROWS_PER_BLOCK,
-    rows: int | None = None,
+    distance: bool = True,
 ) -> DataFrame:
-    """``traj_id, n_rows, n_points, first_us, last_us, duration_s, distance_m`` for every key.
+    """``traj_id, n_rows, n_points, first_us, last_us, duration_s`` and, with ``distance``, ``distance_m`` for every key.
 
     Points are the rows with time and both coordinates (null and NaN are missing), in order of time and row id.
-    Rows without a key make one row with a null key. An empty table gives no rows. ``rows``: the row count, if
-    known.
+    Rows without a key make one row with a null key. An empty table gives no rows.
     """
-    rows = df.count() if rows is None else rows
-    parts = max(math.ceil(rows / rows_per_partition), min(shuffle_partitions(df), math.ceil(rows / 4000)), 1)
     clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     pings = df.select(F.col(key).cast("string").alias("k"), micros(time).alias("t"), clean(lat).alias("lat"), clean(lon).alias("lon"), F.col(row_id).alias("r"))
+    told = lambda x: x.select(
+        F.col("k").alias("traj_id"), F.col("n").alias("n_rows"), F.col("points").alias("n_points"), F.col("t0").alias("first_us"), F.col("t1").alias("last_us"),
+        ((F.col("t1") - F.col("t0")) / 1e6).alias("duration_s"), *([F.col("path").alias("distance_m")] if distance else []),
+    )
+    if not distance:
+        return told(_unordered(pings, fan_in))
+    rows = df.count()
+    parts = max(math.ceil(rows / rows_per_partition), min(shuffle_partitions(df), math.ceil(rows / 4000)), 1)
     chunks = pings.repartitionByRange(parts, "k", "t", "r").sortWithinPartitions("k", "t", "r").select("k", "t", "lat", "lon", F.spark_partition_id().alias("slot"))
     # few rows, written once: both uses below must see the same cut into partitions
     states = reliable(chunks.mapInPandas(_local, f"k string, {_STATE}, slot int, open boolean"))
     body = ["k", *_FIELDS]
     closed = states.where(~F.col("open")).select(body)
     if parts == 1:
-        done = states.select(body)
-    else:
-        up, span = states.where("open").select("slot", F.lit(0).alias("part"), *body), parts
-        while span > 1:
-            span = math.ceil(span / fan_in)
-            # a partition that holds one key only gives that key's state alone, so the slot orders the states
-            group = up.groupBy("k", F.floor(F.col("slot") / fan_in).cast("int").alias("s")).agg(F.array_sort(F.collect_list(F.struct("slot", *_FIELDS))).alias("x"))
-            up = group.select("k", F.col("s").alias("slot"), F.when(F.size("x") > 1, _merged(F.transform("x", lambda e: F.struct(*(e[f].alias(f) for f in _FIELDS))))).otherwise(F.transform("x", lambda e: F.struct(*(e[f].alias(f) for f in _FIELDS)))[0]).alias("m")).select("k", "slot", "m.*")
-        done = closed.unionByName(up.select(body))
-    return done.select(
-        F.col("k").alias("traj_id"), F.col("n").alias("n_rows"), F.col("points").alias("n_points"), F.col("t0").alias("first_us"), F.col("t1").alias("last_us"),
-        ((F.col("t1") - F.col("t0")) / 1e6).alias("duration_s"), F.col("path").alias("distance_m"),
-    )
+        return told(states.select(body))
+    up, span = states.where("open").select("slot", F.lit(0).alias("part"), *body), parts
+    while span > 1:
+        span = math.ceil(span / fan_in)
+        # a partition that holds one key only gives that key's state alone, so the slot orders the states
+        group = up.groupBy("k", F.floor(F.col("slot") / fan_in).cast("int").alias("s")).agg(F.array_sort(F.collect_list(F.struct("slot", *_FIELDS))).alias("x"))
+        up = group.select("k", F.col("s").alias("slot"), F.when(F.size("x") > 1, _merged(F.transform("x", lambda e: F.struct(*(e[f].alias(f) for f in _FIELDS))))).otherwise(F.transform("x", lambda e: F.struct(*(e[f].alias(f) for f in _FIELDS)))[0]).alias("m")).select("k", "slot", "m.*")
+    return told(closed.unionByName(up.select(body)))

@@ -73,9 +73,9 @@ def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "animal_points")
-    rows = df.count()
-    return tree_profile(df, rows=rows).where(F.col("traj_id").isNotNull() & (F.col("n_rows") * 100 >= rows)).select("traj_id")
+    counts = tree_profile(table(spark, sf_dir, "animal_points"), distance=False)
+    rows = counts.agg(F.sum("n_rows")).first()[0] or 0  # over the states, one row for each key and chunk
+    return counts.where(F.col("traj_id").isNotNull() & (F.col("n_rows") * 100 >= rows)).select("traj_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
