@@ -53,23 +53,31 @@ class RTree:
 class Quadtree:
     """Cells of about equal numbers of points, split where a sample is dense.
 
-    A cell is not split below ``least`` degrees (height, and width at its latitude), so that boundary
-    replication stays small; a cell that still holds too much gets ``shares`` > 1.
+    A cell is not split below ``least`` degrees (height, and width at its latitude), so that boundary replication stays
+    small; one that several persons crowd (over eight times ``capacity`` beside the largest person) may go down to a
+    quarter of that. A cell that still holds too much gets ``shares`` > 1: of these, ``pure[cell, person] = (first,
+    number)`` belong to one person each, the others (the first ``mixed[cell]``) to all the rest.
     """
 
     BOX = (-180.0, -90.0, 180.0, 90.0)
 
-    def __init__(self, x, y, weight: float, capacity: int, least: float, deepest: int = 24):
+    def __init__(self, x, y, weight: float, capacity: int, least: float, deepest: int = 24, who=None):
         self.x0, self.y0, self.x1, self.y1 = ([v] for v in self.BOX)
-        self.child, self.leaf, self.shares = [-1], [-1], []
+        self.child, self.leaf, self.shares, self.mixed = [-1], [-1], [], []
+        self.pure: dict[tuple[int, str], tuple[int, int]] = {}
         work = [(0, np.arange(len(x)), 0)]
         x, y = np.asarray(x), np.asarray(y)
+        names, person = np.unique(np.asarray(who, dtype=str), return_inverse=True) if who is not None and len(x) else (np.empty(0, str), None)
         while work:
             node, idx, depth = work.pop()
             a, b, c, d = self.x0[node], self.y0[node], self.x1[node], self.y1[node]
             mx, my = (a + c) / 2, (b + d) / 2
             squeeze = max(np.cos(np.radians(min(89.9, max(abs(b), abs(d))))), 1e-6)
-            if len(idx) * weight > capacity and depth < deepest and (d - b) / 2 >= least and (c - a) / 2 >= least / squeeze:
+            few = least
+            if (d - b) / 2 < least and len(idx) * weight > 8 * capacity:
+                largest = np.bincount(person[idx]).max() if person is not None else 0
+                few = least / 4 if (len(idx) - largest) * weight > 8 * capacity else least
+            if len(idx) * weight > capacity and depth < deepest and (d - b) / 2 >= few and (c - a) / 2 >= few / squeeze:
                 self.child[node] = len(self.x0)
                 east, north = x[idx] >= mx, y[idx] >= my
                 for q in range(4):
@@ -80,11 +88,29 @@ class Quadtree:
                     self.leaf.append(-1)
                     work.append((len(self.x0) - 1, idx[(east == e) & (north == u)], depth + 1))
             else:
-                self.leaf[node] = len(self.shares)
-                self.shares.append(max(1, int(np.ceil(len(idx) * weight / (2 * capacity)))))
-        for name in ("x0", "y0", "x1", "y1", "child", "leaf", "shares"):
+                cell = self.leaf[node] = len(self.shares)
+                rest, total = len(idx), 0
+                if rest * weight > 2 * capacity and person is not None:
+                    count = np.bincount(person[idx], minlength=len(names))
+                    own = np.flatnonzero(count * weight >= 2 * capacity)
+                    rest -= int(count[own].sum())
+                mixed = total = max(1, int(np.ceil(rest * weight / (2 * capacity))))
+                if rest < len(idx):
+                    for h in own:
+                        n = int(np.ceil(count[h] * weight / (2 * capacity)))
+                        self.pure[cell, str(names[h])] = (total, n)
+                        total += n
+                self.shares.append(total)
+                self.mixed.append(mixed)
+        for name in ("x0", "y0", "x1", "y1", "child", "leaf", "shares", "mixed"):
             setattr(self, name, np.asarray(getattr(self, name)))
 
+    def boxes(self) -> tuple[np.ndarray, ...]:
+        """``x0, y0, x1, y1`` of each cell."""
+        at = np.flatnonzero(self.leaf >= 0)
+        at = at[np.argsort(self.leaf[at])]
+        return self.x0[at], self.y0[at], self.x1[at], self.y1[at]
+
     def home(self, x, y) -> np.ndarray:
         """The cell of each point."""
         node = np.zeros(len(x), int)
