@@ -1,16 +1,19 @@
 """Implausible readings: spikes, stuck values and impossible values, judged per source and field.
 
-* Spikes: a Hampel identifier. The window's rolling median and median absolute deviation come from the readings
-  that flank a tested stretch of one to ``max_spike`` readings; the stretch itself is left out, so a wide spike
-  cannot hide itself. A stretch is a candidate if each reading is further from that median than
-  ``threshold`` usual changes beyond the deviation, and the flanks agree. The usual change is the source's median
-  absolute difference of successive readings (exact). An exact check on the nearest flanks follows.
+* Spikes: a Hampel filter proposes, an exact check decides. Of each reading, median and median absolute deviation (MAD)
+  come from the ``flank`` readings on either side of it, of the same source and field. A reading is far if it is more
+  than ``sigmas`` scaled MADs (at least usual changes), or half of ``threshold`` usual changes, from its median,
+  whichever is less. A stretch of one to ``max_spike`` readings is a candidate if each of its readings is far, or its two neighbours are far from that
+  reading's median (as at a change of level). The usual change is the source's median absolute difference of successive
+  readings (exact). A candidate is a spike if its readings differ by more than ``threshold`` usual changes from both
+  neighbours, and these do not differ so from each other. No spike is missed: a reading within half the limit of its
+  median whose neighbour is so as well is within the limit of that neighbour.
 * Stuck values: runs of ``min_run`` or more equal readings, unless the source stands throughout.
 * Physical bounds per field.
 
-The table lies in even blocks by (source, time); three readings per side and field and the runs at a block's
-edges travel between blocks, so a source of any size is spread over many tasks. Only for sources that span
-blocks the usual change takes a job of its own, on counts of differences already aggregated per block.
+The table lies in even blocks by (source, time); ``flank + max_spike + 1`` readings per side and field and the runs at a
+block's edges travel between blocks, so a source of any size is spread over many tasks. Only for sources that span
+blocks the usual change takes a job of its own, an exact quantile from even blocks of sorted differences.
 
 Defined results: rows equal in all but the row id count once (the smallest id); null and NaN are no readings;
 rows without a source are not judged; rows without a time come before all others of their source.
@@ -20,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.times import micros
-from pathloom.operators.blocks import BLOCK, ROWS_PER_BLOCK, OrderedBlocks, halos
+from pathloom.operators.blocks import BLOCK, ROWS_PER_BLOCK, OrderedBlocks, halos, reliable
+from pathloom.operators.quantiles import grouped_quantiles
 
 _RUN = ("k", "v", "n", "zero", "m0", "m1")  # a run of equal readings: is `still` 0 throughout, range of `place`
 _REPORT = "f string, k string, v double, _side string, n long, zero boolean, m0 double, m1 double, whole boolean"
@@ -64,6 +68,52 @@ def _same(a: dict | None, b: dict | None) -> bool:
     return a is not None and b is not None and a["k"] == b["k"] and a["v"] == b["v"]
 
 
+def rolling(k: np.ndarray, v: np.ndarray, flank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median and MAD of the ``flank`` readings on either side of each reading (itself left out), of the same source;
+    NaN where there are none."""
+    n = len(v)
+    around = np.full((n, 2 * flank), np.nan)
+    for c, d in enumerate([*range(-flank, 0), *range(1, flank + 1)]):
+        i = np.arange(max(0, -d), min(n, n - d))
+        same = k[i] == k[i + d]
+        around[i[same], c] = v[i[same] + d]
+    count = (~np.isnan(around)).sum(1)
+    lo, hi, row = np.maximum(count - 1, 0) // 2, count // 2, np.arange(n)
+
+    def middle(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x, axis=1)
+        return np.where(count > 0, (x[row, lo] + x[row, np.minimum(hi, 2 * flank - 1)]) / 2, np.nan)
+
+    median = middle(around)
+    return median, middle(np.abs(around - median[:, None]))
+
+
+def spikes(k: np.ndarray, v: np.ndarray, usual: np.ndarray, threshold: float, max_spike: int, flank: int, sigmas: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates, spikes among them, rolling median and MAD of each reading (in order of source and time)."""
+    med, mad = rolling(k, v, flank)
+    limit = usual * threshold
+    # half the limit at most, so that no spike is missed; a hair less for rounding
+    far_at = np.minimum(limit / 2, sigmas * 1.4826 * np.maximum(mad, usual)) * (1 - 1e-9) - 1e-12
+    far = np.abs(v - med) > far_at
+    candidate, found = np.zeros(len(v), bool), np.zeros(len(v), bool)
+    for width in range(1, max_spike + 1):
+        i = np.arange(1, len(v) - width)  # first reading of the tested stretch
+        i = i[k[i - 1] == k[i + width]]
+        p, q = v[i - 1], v[i + width]
+        ok = np.ones(len(i), bool)
+        for j in range(width):
+            m = i + j
+            ok &= far[m] | ((np.abs(p - med[m]) > far_at[m]) & (np.abs(q - med[m]) > far_at[m]))
+        i, p, q, lim = i[ok], p[ok], q[ok], limit[i[ok]]
+        spike = np.abs(p - q) <= lim  # the exact check
+        for j in range(width):
+            candidate[i + j] = True
+            spike &= (np.abs(v[i + j] - p) > lim) & (np.abs(v[i + j] - q) > lim)
+        for j in range(width):
+            found[i[spike] + j] = True
+    return candidate, found, med, mad
+
+
 def implausible(
     df: DataFrame,
     bounds: dict[str, tuple[float, float]],
@@ -74,7 +124,8 @@ def implausible(
     place: str = "lat",
     threshold: float = 15.0,
     max_spike: int = 3,
-    flank: int = 1,
+    flank: int = 7,
+    sigmas: float = 3.0,
     min_run: int = 8,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
@@ -90,7 +141,7 @@ def implausible(
     one = df.where(F.col(key).isNotNull()).select(F.col(row_id).alias("r"), *(v.alias(n) for n, v in same.items())).groupBy(*same).agg(F.min("r").alias("r"))
     rows = one.select(F.col(name_of[key]).cast("string").alias("k"), micros(name_of[time]).alias("t"), "r", F.col("r").cast("string").alias("id"), *(F.col(name_of[c]).cast("double").alias(f"v_{c}") for c in used))
     blocks = OrderedBlocks(rows, ["k", "t", "r"], [], keep=["k", "id", *(f"v_{c}" for c in used)], rows_per_block=rows_per_block)
-    h = max_spike + flank - 1
+    h = max_spike + flank + 1
 
     def report(block: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -140,24 +191,20 @@ def implausible(
     usual: dict[tuple[str, str], float] = {}
     if spanning:
 
-        def count(block: pd.DataFrame, b: int) -> pd.DataFrame:
-            out = []
+        def changes(block: pd.DataFrame, b: int) -> pd.DataFrame:
+            out = [pd.DataFrame({"g": pd.Series(dtype=object), "d": pd.Series(dtype=float)})]
             for f in fields:
                 x = _Field(block, f, still, place)
                 if len(x.v):
                     k, d = differences(x, f, b)
-                    for name in (n for n in pd.unique(k) if n in spanning):
-                        val, cnt = np.unique(d[k == name], return_counts=True)
-                        out.append(pd.DataFrame({"k": name, "f": f, "d": val, "c": cnt}))
-            return pd.concat(out) if out else pd.DataFrame({"k": [], "f": [], "d": [], "c": []})
-
-        counts = blocks.map(count, "k string, f string, d double, c long").groupBy("k", "f", "d").agg(F.sum("c").alias("c"))
-        w = Window.partitionBy("k", "f")
-        upto = counts.withColumns({"hi": F.sum("c").over(w.orderBy("d")), "all": F.sum("c").over(w)})
-        lo, mid1, mid2 = F.col("hi") - F.col("c"), F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
-        hit = upto.where(((lo <= mid1) & (mid1 < F.col("hi"))) | ((lo <= mid2) & (mid2 < F.col("hi"))))
-        for r in hit.groupBy("k", "f").agg(((F.min("d") + F.max("d")) / 2).alias("u")).collect():  # one per block and field at most
-            usual[r["k"], r["f"]] = r["u"]
+                    wide = np.isin(k, list(spanning))
+                    out.append(pd.DataFrame({"g": [f"{f}|{name}" for name in k[wide]], "d": d[wide]}))
+            return pd.concat(out, ignore_index=True)
+
+        medians = grouped_quantiles(reliable(blocks.map(changes, "g string, d double")), "g", "d", [0.5])
+        for r in medians.collect():  # one per block and field at most
+            f, _, k = r["g"].partition("|")
+            usual[k, f] = r["q"][0]
 
     def work(block: pd.DataFrame, b: int) -> pd.DataFrame:
         out = []
@@ -186,29 +233,9 @@ def implausible(
             k = np.r_[lead["k"].to_numpy(object), x.k, trail["k"].to_numpy(object)]
             v = np.r_[lead["v"].to_numpy("float64"), x.v, trail["v"].to_numpy("float64")]
             a, z = len(lead), len(lead) + n
-            limit = np.r_[np.full(a, u[0]), u, np.full(len(trail), u[-1])] * threshold
-            spike, rmed, rmad = np.zeros(len(v), bool), np.full(len(v), np.nan), np.full(len(v), np.nan)
-            for width in range(1, max_spike + 1):
-                i = np.arange(flank, len(v) - width - flank + 1)  # first reading of the tested stretch
-                if not len(i):
-                    continue
-                sides = np.stack([v[i - j] for j in range(1, flank + 1)] + [v[i + width - 1 + j] for j in range(1, flank + 1)])
-                m = np.median(sides, axis=0)
-                d = np.median(np.abs(sides - m), axis=0)
-                lim = limit[i]
-                ok = (k[i - flank] == k[i + width - 1 + flank]) & (2 * d <= lim * (1 + 1e-9) + 1e-12)
-                for j in range(width):
-                    ok &= np.abs(v[i + j] - m) > (lim + d) * (1 - 1e-9) - 1e-12
-                p, q = v[i - 1], v[i + width]  # the exact check
-                ok &= np.abs(p - q) <= lim
-                for j in range(width):
-                    ok &= (np.abs(v[i + j] - p) > lim) & (np.abs(v[i + j] - q) > lim)
-                for j in range(width):
-                    hit = i[ok] + j
-                    new = hit[~spike[hit]]
-                    at = i[ok][~spike[hit]] - flank
-                    spike[new], rmed[new], rmad[new] = True, m[at], d[at]
-            spike, rmed, rmad = spike[a:z], rmed[a:z], rmad[a:z]
+            # of neighbouring blocks only readings of a source that this block shares take part
+            own = np.r_[np.full(a, u[0]), u, np.full(len(trail), u[-1])]
+            _, spike, rmed, rmad = (y[a:z] for y in spikes(k, v, own, threshold, max_spike, flank, sigmas))
             bad = np.flatnonzero(out_of | stuck | spike)
             rule = np.where(out_of[bad], "bounds", np.where(stuck[bad], "stuck", "spike"))
             out.append(pd.DataFrame({"row_id": ids[x.at[bad]], "traj_id": x.k[bad], "field": f, "value": x.v[bad], "rule": rule, "rolling_median": rmed[bad], "rolling_mad": rmad[bad], "usual_change": u[bad]}))

@@ -62,7 +62,40 @@ def test_implausible_rules_and_wider_flanks(spark):
     got = {(r["row_id"], r["rule"]) for r in spikes.implausible(df, {"Speed": (0.0, 100.0)}).collect()}
     assert got == {(3, "spike"), (8, "bounds")} | {(i, "stuck") for i in range(9, 18)}
     wide = {r["row_id"]: r for r in spikes.implausible(df, {"Speed": (0.0, 100.0)}, flank=2).collect()}
-    assert wide[3]["rule"] == "spike" and wide[3]["rolling_median"] == pytest.approx(10.05, abs=0.1)
+    assert wide[3]["rule"] == "spike" and wide[3]["rolling_median"] == pytest.approx(10.05, abs=0.1) and wide[8]["rolling_mad"] >= 0
+
+
+def test_the_rolling_window_proposes_and_misses_nothing():
+    """Candidates come from median and MAD of the window, hold every spike, and change with the window."""
+    rng = np.random.default_rng(8)
+    differ = 0
+    for _ in range(300):
+        n = 60
+        v = np.cumsum(rng.choice([0.0, 0.0, 20.0, -20.0], n)) + rng.normal(0, 1, n)
+        at = rng.integers(1, n - 4, 6)
+        v[at] += rng.choice([-60, 60, 17], 6)
+        v[at[:2] + 1] += 60
+        k = np.repeat(["a", "b"], n // 2)
+        u = np.repeat([np.median(np.abs(np.diff(v[: n // 2]))), np.median(np.abs(np.diff(v[n // 2 :])))], n // 2)
+        want = np.zeros(n, bool)
+        for s in (0, n // 2):
+            for w in (1, 2, 3):
+                for i in range(s + 1, s + n // 2 - w):
+                    p, q, lim = v[i - 1], v[i + w], 15 * u[i]
+                    if abs(p - q) <= lim and all(abs(x - p) > lim and abs(x - q) > lim for x in v[i : i + w]):
+                        want[i : i + w] = True
+        wide, found, med, mad = spikes.spikes(k, v, u, 15.0, 3, 7, 3.0)
+        narrow = spikes.spikes(k, v, u, 15.0, 3, 1, 3.0)[0]
+        assert (found == want).all() and not (want & ~wide).any()
+        differ += (wide != narrow).any()
+        i = 20
+        x = np.r_[v[13:20], v[21:28]]
+        assert med[i] == pytest.approx(np.median(x)) and mad[i] == pytest.approx(np.median(np.abs(x - np.median(x))))
+    assert differ > 100
+    # quiet series: the filter proposes the spike and few others
+    v = np.r_[np.zeros(20), 30.0, np.zeros(20)] + np.tile([0.0, 1.0], 21)[:41]
+    wide, found, _, _ = spikes.spikes(np.repeat("a", 41), v, np.ones(41), 15.0, 3, 7, 3.0)
+    assert np.flatnonzero(found).tolist() == [20] and wide.sum() <= 3
 
 
 @pytest.mark.parametrize("per_block", [150_000, 150, 40])
