@@ -51,19 +51,20 @@ def _us(local: dt.datetime) -> int:
     return (d.days * 86400 + d.seconds) * 1_000_000 + d.microseconds
 
 
-def to_utc(local: dt.datetime, tz: ZoneInfo, received: int | None) -> int | None:
-    """The UTC instant of a wall-clock time: of two the latest not after ``received`` (neither: the first; unknown
-    arrival: none); a skipped one is read with the offset from before the change."""
+def to_utc(local: dt.datetime, tz: ZoneInfo, received: int | None) -> list[tuple[int, bool]]:
+    """The UTC instants of a wall-clock time, each with whether it is against the rule of arrival. A time that occurs
+    twice has two: the rule is the latest not after ``received``, else the first; it comes first. Of unknown arrival
+    neither is against it. A skipped time is read with the offset from before the change."""
     off0 = local.replace(tzinfo=tz, fold=0).utcoffset()
     off1 = local.replace(tzinfo=tz, fold=1).utcoffset()
     base = _us(local)
     a = base - (off0.days * 86400 + off0.seconds) * 1_000_000
     if off0 <= off1:  # usual, or skipped (then fold 0 has the offset before)
-        return a
+        return [(a, False)]
     b = base - (off1.days * 86400 + off1.seconds) * 1_000_000
     if received is None:
-        return None
-    return b if b <= received else a
+        return [(a, False), (b, False)]
+    return [(b, False), (a, True)] if b <= received else [(a, False), (b, True)]
 
 
 def _make(y: int, m: int, d: int, clock: tuple[int, int, int, int]) -> dt.datetime | None:
@@ -73,8 +74,14 @@ def _make(y: int, m: int, d: int, clock: tuple[int, int, int, int]) -> dt.dateti
         return None
 
 
-def interpretations(text: str | None, tz: ZoneInfo | None, received: int | None) -> list[tuple[str, int]]:
-    """``(form, UTC microseconds)`` of each valid reading; forms ``epoch, ymd, dmy, mdy, named``.
+_FIRST, _LAST = _us(dt.datetime(1, 1, 1)), _us(dt.datetime(9999, 12, 31, 23, 59, 59, 999999))
+UNITS = {"epoch_s": 6, "epoch_ms": 3, "epoch_us": 0}  # digits of a microsecond that the unit leaves to the fraction
+
+
+def interpretations(text: str | None, tz: ZoneInfo | None, received: int | None) -> list[tuple[str, int, bool]]:
+    """``(form, UTC microseconds, against the rule of arrival)`` of each valid reading; forms ``epoch_s, epoch_ms,
+    epoch_us, ymd4, named, dmy, mdy, ymd``. A plain number has a reading in each unit in which it lies in the years 1 to
+    9999.
 
     A zone in the text holds, else ``tz``; without any zone a wall-clock time has no instant.
     """
@@ -85,12 +92,11 @@ def interpretations(text: str | None, tz: ZoneInfo | None, received: int | None)
         return []
     if m := _NUMBER.fullmatch(s):
         whole, part = m[1], m[2] or ""
-        n = len(whole.lstrip("+-"))
-        unit = 6 if n <= 11 else 3 if n <= 14 else 0 if n <= 17 else None
-        if unit is None or n < 9:
+        if len(whole) > 20:
             return []
         sign = -1 if whole[0] == "-" else 1
-        return [("epoch", int(whole) * 10**unit + sign * int((part + "000000")[:unit] or 0))]
+        ways = [(form, int(whole) * 10**n + sign * int((part + "000000")[:n] or 0), False) for form, n in UNITS.items()]
+        return [w for w in ways if _FIRST <= w[1] <= _LAST]
     offset, named = None, None
     if m := _BRACKET.search(s):
         named, s = m[1], s[: m.start()]
@@ -151,7 +157,7 @@ def interpretations(text: str | None, tz: ZoneInfo | None, received: int | None)
         if local is None:
             continue
         if offset is not None:
-            out.append((form, _us(local) - offset * 1_000_000))
-        elif tz is not None and (t := to_utc(local, tz, received)) is not None:
-            out.append((form, t))
+            out.append((form, _us(local) - offset * 1_000_000, False))
+        elif tz is not None:
+            out += [(form, t, against) for t, against in to_utc(local, tz, received)]
     return out

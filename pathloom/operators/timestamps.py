@@ -1,19 +1,26 @@
 """Timestamps in mixed formats, precisions and zones, normalised to UTC.
 
-Each text is read in every valid way (``functions/timeparse.py``). Which reading holds is decided per source by
-expectation-maximisation over a mixture of forms: a reading's likelihood is the source's share of its form times
-the density of the delay between that instant and the arrival of the row; posteriors give new shares until they
-settle. The source's declared date order, where given, is the prior of the shares (a Dirichlet with a large
-count), and an exact check follows: a purely numeric date takes the declared order, whatever the posterior.
-Without a declaration the posterior decides, and a best reading below ``confidence`` is marked ``ambiguous`` and
-gets no instant.
+Each text is read in every valid way (``functions/timeparse.py``): every order of a numeric date, every unit of a plain
+number, both instants of a local time that occurs twice. Which reading holds is decided per source by
+expectation-maximisation over a mixture of forms: a reading's likelihood is the source's share of its form times the
+density of the delay between that instant and the arrival of the row, times a small factor where it is against the rule
+of arrival (of two instants of one local time the latest not after the arrival). Plain numbers may also be no time at
+all, a component of its own. Posteriors give new shares until they settle, and then choose. The source's declared date
+order, where given, is a prior of the shares (a Dirichlet of ``DECLARED`` counts). A choice below ``confidence`` is
+marked ``ambiguous`` and gets no instant.
+
+An exact check follows: where an order is declared, a purely numeric date takes it, whatever the posterior (column
+``overridden``; no row of the test tables).
+
+Times with an offset in the text, in the ISO form, are read by the JVM; the kernel reads the others.
 
 Scale: rows shrink to (source, signature) counts before the shuffle, where a signature is the set of readings with
 their delays in bins; a source has a bounded number of them, so the EM of a source with a third of all rows is
 as small as any other. Only rows with several readings are joined back; AQE splits a hot source there.
 
 Defined results: null, empty and senseless texts have status ``none``; a local time without zone whose source has no
-zone likewise; a local time that occurs twice needs the arrival time to be settled.
+zone likewise; a local time that occurs twice and has no arrival time is ``ambiguous``, and so is a plain number that
+lies far from its arrival in every unit.
 """
 
 from __future__ import annotations
@@ -30,61 +37,87 @@ from pathloom.functions.timeparse import interpretations, zone
 from pathloom.functions.times import micros
 from pathloom.operators.blocks import reliable
 
-FORMS = ("epoch", "ymd4", "named", "dmy", "mdy", "ymd")
-DECLARED = 1e6  # Dirichlet count of a declared date order
-# Upper edges of the delay bins in hours, from "before it was sent" on, and the log density of each. Delays are
-# mostly minutes, sometimes weeks; readings in the wrong order are weeks to months off, often in the future.
-_EDGES = np.array([-1.0, 0.0, 1.0, 6.0, 24.0, 24 * 7.0, 24 * 21.0, 24 * 60.0])
-_LOG_DENSITY = np.log(np.array([1e-7, 1e-4, 0.8, 5e-2, 1e-2, 3e-3, 1e-3, 1e-5, 1e-6]))
-_UNKNOWN = len(_LOG_DENSITY)  # no arrival time
+NONSENSE = "nonsense"
+FORMS = ("epoch_s", "epoch_ms", "epoch_us", NONSENSE, "ymd4", "named", "dmy", "mdy", "ymd")
+DECLARED = 50.0  # Dirichlet count of a declared date order
+# Upper edges of the delay bins in hours, from "long before it was sent" on, and the log density of each. Delays are
+# mostly minutes, sometimes weeks; readings in the wrong order are weeks to months off, in the wrong unit years.
+_YEAR = 24 * 366.0
+_EDGES = np.array([-_YEAR, -1.0, 0.0, 1.0, 6.0, 24.0, 24 * 7.0, 24 * 21.0, 24 * 60.0, _YEAR])
+# then of an unknown arrival: within the plausible era, and outside of it
+_LOG_DENSITY = np.log(np.array([1e-9, 1e-7, 1e-4, 0.8, 5e-2, 1e-2, 3e-3, 1e-3, 1e-5, 1e-6, 1e-9, 1.0, 1e-6]))
+_UNKNOWN, _OTHER_ERA = len(_EDGES) + 1, len(_EDGES) + 2
+_ERA = (631_152_000_000_000, 4_102_444_800_000_000)  # 1990 to 2100
+_LOG_AGAINST = math.log(1e-6)  # against the rule of arrival
+_LOG_NONSENSE = math.log(1e-8)
+_ISO = r"^\s*\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}([.,]\d{1,6})?\s*(Z|z|[+-]\d{2}:?\d{2})\s*$"
 
 
-def _signature(found: list[tuple[str, int]], received: int | None) -> str:
-    out = []
-    for form, us in found:
-        b = _UNKNOWN if received is None else int(np.searchsorted(_EDGES, (received - us) / 3.6e9))
-        out.append(f"{form}:{b}")
-    return "|".join(out)
+def _bin(us: int, received: int | None) -> int:
+    if received is None:
+        return _UNKNOWN if _ERA[0] <= us < _ERA[1] else _OTHER_ERA
+    return int(np.searchsorted(_EDGES, (received - us) / 3.6e9))
+
+
+def _signature(found: list[tuple[str, int, bool]], received: int | None) -> str:
+    return "|".join(f"{form}:{_bin(us, received)}{'x' if against else ''}" for form, us, against in found)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
         sig, us = [], []
-        for text, tz, got in zip(d["txt"], d["tz"], d["got"]):
+        for text, tz, got, done in zip(d["txt"], d["tz"], d["got"], d["done"]):
             got = None if pd.isna(got) else int(got)
-            found = interpretations(None if pd.isna(text) else text, zone(tz) if isinstance(tz, str) else None, got)
+            if not pd.isna(done):
+                found = [("ymd4", int(done), False)]
+            else:
+                found = interpretations(None if pd.isna(text) else text, zone(tz) if isinstance(tz, str) else None, got)
             sig.append(_signature(found, got))
-            us.append([u for _, u in found])
+            us.append([u for _, u, _ in found])
         yield pd.DataFrame({"id": d["id"], "src": d["src"], "declared": d["declared"], "sig": sig, "us": us})
 
 
 def _em(d: pd.DataFrame) -> pd.DataFrame:
-    """Choice and posterior for each signature of one source."""
+    """For each signature of one source: the reading of the largest posterior (-1: no time at all) and, among those of
+    the declared order, the largest again."""
     declared = d["declared"].iloc[0]
     alpha = np.array([1.0 + (DECLARED if f == declared else 0.0) for f in FORMS])
-    sigs = [[(FORMS.index(f), int(b)) for f, b in (p.split(":") for p in s.split("|"))] for s in d["sig"]]
-    loglik = [np.array([0.0 if b == _UNKNOWN else _LOG_DENSITY[b] for _, b in s]) for s in sigs]
-    forms = [np.array([f for f, _ in s]) for s in sigs]
+    forms, logs = [], []
+    for s in d["sig"]:
+        parts = [p.split(":") for p in s.split("|")]
+        f = [FORMS.index(name) for name, _ in parts]
+        ll = [_LOG_DENSITY[int(b.rstrip("x"))] + (_LOG_AGAINST if b.endswith("x") else 0.0) for _, b in parts]
+        if parts[0][0].startswith("epoch"):
+            f, ll = [*f, FORMS.index(NONSENSE)], [*ll, _LOG_NONSENSE]
+        forms.append(np.array(f))
+        logs.append(np.array(ll))
     count = d["n"].to_numpy(float)
     pi = alpha / alpha.sum()
+
+    def posterior(f: np.ndarray, ll: np.ndarray) -> np.ndarray:
+        w = np.log(pi[f]) + ll
+        w = np.exp(w - w.max())
+        return w / w.sum()
+
     for _ in range(200):
         new = alpha.copy()
-        for f, ll, c in zip(forms, loglik, count):
-            w = np.log(pi[f]) + ll
-            w = np.exp(w - w.max())
-            np.add.at(new, f, c * w / w.sum())
+        for f, ll, c in zip(forms, logs, count):
+            np.add.at(new, f, c * posterior(f, ll))
         new /= new.sum()
-        if np.abs(new - pi).max() < 1e-10:
-            break
+        settled = np.abs(new - pi).max() < 1e-10
         pi = new
-    pick, post = [], []
-    for f, ll in zip(forms, loglik):
-        w = np.log(pi[f]) + ll
-        w = np.exp(w - w.max())
-        w /= w.sum()
-        pick.append(int(w.argmax()))
-        post.append(float(w.max()))
-    return pd.DataFrame({"src": d["src"], "declared": d["declared"], "sig": d["sig"], "pick": pick, "posterior": post})
+        if settled:
+            break
+    out = []
+    for f, ll in zip(forms, logs):
+        w = posterior(f, ll)
+        best = int(w.argmax())
+        own = np.flatnonzero(f == FORMS.index(declared)) if declared in FORMS else np.empty(0, int)
+        bound = int(own[w[own].argmax()]) if len(own) else -1
+        within = np.exp(ll[own] - ll[own].max()) if len(own) else np.ones(1)
+        out.append((-1 if FORMS[f[best]] == NONSENSE else best, float(w[best]), bound, float(within.max() / within.sum())))
+    pick, post, bound, sure = zip(*out)
+    return pd.DataFrame({"src": d["src"], "declared": d["declared"], "sig": d["sig"], "pick": pick, "posterior": post, "own": bound, "own_posterior": sure})
 
 
 def normalise_timestamps(
@@ -98,34 +131,36 @@ def normalise_timestamps(
     date_order: str = "date_order",
     confidence: float = 0.9,
 ) -> DataFrame:
-    """``fix_id, utc_us, status (resolved|ambiguous|none), form, posterior`` for every row.
+    """``fix_id, utc_us, status (resolved|ambiguous|none), form, posterior, overridden`` for every row.
 
     ``sources``: one row per source with its zone and declared order (both may be null).
     """
     about = sources.groupBy(F.col(source).cast("string").alias("src")).agg(F.max(time_zone).alias("tz"), F.max(date_order).alias("declared"))
-    rows = df.select(F.col(row_id).cast("string").alias("id"), F.col(source).cast("string").alias("src"), F.col(text).cast("string").alias("txt"), micros(received).alias("got"))
-    joined = rows.join(about, "src", "left").select("id", "src", "declared", "tz", "txt", "got")
+    txt = F.col(text).cast("string")
+    iso = F.regexp_replace(F.regexp_replace(F.translate(F.upper(F.trim(txt)), "T,", " ."), "Z$", "+00:00"), r"\s*([+-]\d{2}):?(\d{2})$", "$1:$2")
+    done = F.when(txt.rlike(_ISO), F.unix_micros(iso.try_cast("timestamp")))
+    rows = df.select(F.col(row_id).cast("string").alias("id"), F.col(source).cast("string").alias("src"), txt.alias("txt"), micros(received).alias("got"), done.alias("done"))
+    joined = rows.join(about, "src", "left").select("id", "src", "declared", "tz", "txt", "got", "done")
     parsed = reliable(joined.mapInPandas(_parse, "id string, src string, declared string, sig string, us array<long>"))
     counts = parsed.where(F.col("sig") != "").groupBy("src", "declared", "sig").agg(F.count("*").alias("n"))
-    choices = counts.groupBy("src", "declared").applyInPandas(_em, "src string, declared string, sig string, pick int, posterior double")
+    choices = counts.groupBy("src", "declared").applyInPandas(_em, "src string, declared string, sig string, pick int, posterior double, own int, own_posterior double")
     several = F.instr("sig", "|") > 0
     c = choices.where(several)
     p = parsed.where(several)
     met = p.join(c.withColumnRenamed("src", "s2").withColumnRenamed("sig", "g2").drop("declared"), F.col("src").eqNullSafe(F.col("s2")) & (F.col("sig") == F.col("g2"))).drop("s2", "g2")
-    # a single reading has posterior 1 whatever the shares
-    sole = parsed.where(~several).withColumns({"pick": F.lit(0), "posterior": F.when(F.col("sig") != "", 1.0)})
     forms = F.transform(F.split("sig", "\\|"), lambda x: F.split(x, ":")[0])
-    every = met.unionByName(sole).withColumn("forms", forms)
+    # a single reading has posterior 1 whatever the shares
+    one = {"pick": F.lit(0), "posterior": F.when(F.col("sig") != "", 1.0), "own": F.when(forms[0] == F.col("declared"), 0).otherwise(-1), "own_posterior": F.lit(1.0)}
+    every = met.unionByName(parsed.where(~several).withColumns(one)).withColumn("forms", forms)
     numeric = F.array_contains(F.array(*(F.lit(f) for f in ("dmy", "mdy", "ymd"))), F.col("forms")[0])
-    place = F.array_position("forms", F.col("declared")).cast("int")
     # the exact check: a numeric date follows the declared order, and has no instant if it is invalid in it. For
     # a declared "ymd" a year at the end contradicts the declaration, so the posterior decides
-    bound = numeric & F.col("declared").isin("dmy", "mdy", "ymd") & ~((F.col("declared") == "ymd") & (place == 0))
-    pick = F.when(F.col("sig") == "", None).when(bound, F.when(place > 0, place - 1)).otherwise(F.col("pick"))
-    sure = bound | (F.col("posterior") >= confidence)
-    out = every.withColumn("at", pick)
-    status = F.when(F.col("at").isNull(), "none").when(sure, "resolved").otherwise("ambiguous")
+    bound = numeric & F.coalesce(F.col("declared").isin("dmy", "mdy", "ymd"), F.lit(False)) & ~((F.col("declared") == "ymd") & (F.col("own") < 0))
+    out = every.withColumns({"bound": F.coalesce(bound, F.lit(False)), "sense": F.col("sig") != ""})
+    out = out.withColumns({"at": F.when(F.col("bound"), F.col("own")).otherwise(F.col("pick")), "sure": F.when(F.col("bound"), F.col("own_posterior")).otherwise(F.col("posterior")) >= confidence})
+    there = F.col("sense") & (F.col("at") >= 0)
+    status = F.when(there & F.col("sure"), "resolved").when(there | (F.col("sense") & ~F.col("bound")), "ambiguous").otherwise("none")
     return out.select(
-        F.col("id").cast(df.schema[row_id].dataType).alias(row_id), F.when(F.col("at").isNotNull() & sure, F.get("us", F.col("at"))).alias("utc_us"), status.alias("status"),
-        F.get("forms", F.col("at")).alias("form"), "posterior",
+        F.col("id").cast(df.schema[row_id].dataType).alias(row_id), F.when(there & F.col("sure"), F.get("us", F.col("at"))).alias("utc_us"), status.alias("status"),
+        F.when(there, F.get("forms", F.col("at"))).alias("form"), "posterior", (F.col("sense") & F.col("bound") & (F.col("own") != F.col("pick"))).alias("overridden"),
     )

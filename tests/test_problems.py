@@ -182,6 +182,8 @@ def test_timestamps(spark):
         (" 2018-01-02t07:38:01z ", 4, None, "2018-01-02 07:38:01"),
         ("2018-06-01 12:00:00 EST", 2, None, "2018-06-01 17:00:00"),
         ("20180102T151628-0500", 1, None, "2018-01-02 20:16:28"),
+        (" 2018-01-02 15:16:28,123456 -0500 ", 1, None, "2018-01-02 20:16:28.123456"),
+        ("2018-02-30T15:16:28Z", 1, None, None), ("2018-10-28 02:30:00", 1, None, None),  # no such day; twice, arrival unknown
         ("14/01/2018 10:00", 2, "2018-01-14 16:00", None),  # no month 14
         ("2018-02-30 10:00:00", 1, None, None), ("25:61", 1, None, None), ("", 1, None, None), (None, 1, None, None), ("unknown", 9, None, None),
     ]
@@ -202,6 +204,52 @@ def test_undeclared_order_without_evidence_is_ambiguous(spark):
     assert r["status"] == "ambiguous" and r["utc_us"] is None and r["posterior"] < 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_declared_order_overrides_no_posterior(spark, sf):
+    """The exact check changes nothing on the test tables: the posteriors alone choose."""
+    d = f"/root/testdata/{sf}"
+    r = timestamps.normalise_timestamps(problems.table(spark, d, "seagull_fixes"), problems.table(spark, d, "stations"))
+    assert r.where("overridden").count() == 0 and r.where("status = 'resolved'").count() > 400
+
+
+def test_posteriors_decide_for_sources_that_declare_nothing(spark):
+    """Thousands of texts of undeclared sources, each with its own order and unit: learnt from those that are plain."""
+    rng = np.random.default_rng(9)
+    data, want = [], {}
+    for i in range(4000):
+        source, t = int(rng.integers(1, 5)), dt.datetime(2018, 1, 1) + dt.timedelta(seconds=int(rng.integers(0, 300 * 86400)))
+        late = rng.choice([60, 600, 7200, 86400 * 3, 86400 * 15], p=[0.5, 0.3, 0.1, 0.05, 0.05])
+        us = int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+        text = {1: t.strftime("%d/%m/%Y %H:%M:%S"), 2: t.strftime("%m/%d/%Y %H:%M:%S"), 3: str(us // 1000), 4: str(us // 10**6)}[source]
+        arrives = t + dt.timedelta(seconds=int(late)) if i % 10 else None  # a tenth has no arrival time: only the shares tell
+        data.append((i, source, text, arrives))
+        want[i] = us
+    about = spark.createDataFrame([(s, "UTC", None) for s in range(1, 5)], "station_id int, time_zone string, date_order string")
+    df = spark.createDataFrame(data, "fix_id long, station_id int, DateTime string, received_at timestamp_ntz")
+    got = timestamps.normalise_timestamps(df, about).collect()
+    sure = [r for r in got if r["status"] == "resolved"]
+    assert len(sure) > 0.98 * len(got) and all(r["utc_us"] == want[r["fix_id"]] for r in sure)
+    assert sum(0.9 <= r["posterior"] < 0.9999999 for r in sure) > 100  # these had rivals
+    old = timestamps._LOG_DENSITY
+    timestamps._LOG_DENSITY = np.zeros_like(old)  # without the likelihood nothing is learnt
+    try:
+        blind = timestamps._em(pd.DataFrame({"src": "1", "declared": None, "sig": ["dmy:3|mdy:0", "dmy:3"], "n": [5, 1]}))
+    finally:
+        timestamps._LOG_DENSITY = old
+    seeing = timestamps._em(pd.DataFrame({"src": "1", "declared": None, "sig": ["dmy:3|mdy:0", "dmy:3"], "n": [5, 1]}))
+    assert seeing["posterior"][0] > blind["posterior"][0]
+
+
+def test_plain_numbers_of_any_length(spark):
+    about = spark.createDataFrame([(1, "UTC", None)], "station_id int, time_zone string, date_order string")
+    at = dt.datetime(1970, 1, 2, 0, 5)
+    data = [(1, 1, "86400", at), (2, 1, "86400000", at), (3, 1, "7", dt.datetime(1970, 1, 1, 0, 1)), (4, 1, "99999999", dt.datetime(2018, 1, 1)), (5, 1, "9" * 30, None)]
+    df = spark.createDataFrame(data, "fix_id long, station_id int, DateTime string, received_at timestamp_ntz")
+    got = {r["fix_id"]: (r["status"], r["utc_us"]) for r in timestamps.normalise_timestamps(df, about).collect()}
+    assert got[2] == ("resolved", 86_400_000_000)
+    assert got[1][1] in (None, 86_400_000_000) and got[4] == ("ambiguous", None) and got[5] == ("none", None)
+
+
 def test_trailing_totals(spark):
     d = lambda s: dt.datetime.fromisoformat(s)
     data = [("a", d("2024-01-01 23:59:59"), 5.0), ("a", d("2024-01-01 23:59:59"), 5.0), ("a", d("2024-01-01 23:59:59"), 7.0), ("a", d("2024-01-08 00:00:00"), float("nan")), ("a", d("2024-02-03 00:00:00"), 1.0), (None, d("2024-01-01 00:00:00"), 1.0), ("b", None, 1.0)]
