@@ -6,16 +6,20 @@
    its place (at most twice the radius away). Linked pings form a component; up to ``max_elsewhere`` pings elsewhere
    are bridged. A component that fits a circle of the radius (smallest enclosing circle) is a dwell, another is
    cut into dwells where the place is left.
-3. Decoding: states are stop and travel, with explicit duration distributions. A stop's duration has no mass
-   below ``min_stop_s``; travel is log-normal with a point mass at zero (one stop next to another) and is
+3. Decoding: states are stop and travel, with emissions for every ping (under stop a Gaussian around the dwell's mean,
+   under travel anywhere in ``TRAVEL_KM2``) and explicit duration distributions (``Durations``). A stop's duration has
+   no mass below ``min_stop_s``; travel is log-normal with a point mass at zero (one stop next to another) and is
    censored at the ends of a stretch of overlapping dwells. Viterbi runs over segment ends: a stop segment is a
-   dwell or, where dwells overlap, a dwell cut at its rival's edge.
+   dwell or, where dwells overlap, a dwell cut at its rival's edge; all predecessors compete (those that cannot win
+   any more are passed over by a bound). What is no stop for certain (a single dwell without rival is one by
+   definition) is decided by it.
 4. Parts of components that touch a block's edge (at most ``max_elsewhere + 1`` per side and block) reach the driver
    with their convex hulls and are joined there. A joined component that fits the circle and overlaps no other dwell
    is a stop. The pings of all others are brought together, one group per stretch of overlapping components, and cut
    and decoded by the same functions as inside a block, so results do not depend on where blocks are cut.
 5. Silences over ``session_gap_s`` split sessions before path totals. Path lengths are differences of a running
-   length per key, carried from block to block.
+   length per key, carried from block to block. Trips lie between successive marks (begin of a session, stop, end of a
+   session), which are put in order in even blocks as well.
 
 Defined results: pings without key, time or coordinate do not count (NaN is no coordinate); of several pings of
 a key at one time the one with the smallest row id counts; an empty table gives no rows; a session of a single
@@ -25,10 +29,11 @@ ping gives none.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.npgeo import haversine_m, text_time
@@ -43,39 +48,59 @@ _EVENT = (
 _KNOT = "k string, g long, m long, t long, lat double, lon double, c double, at long"
 _START, _STOP, _END, _OPEN = 0, 1, 2, 3
 
-# log-normal durations in minutes (median, sigma), the chance that a stop follows a stop at once, and the log
-# odds of one ping under "at the place" (a Gaussian of about 10 m) against "on the way" (anywhere in 100 km2)
-STOP_MIN, STOP_SIGMA, TRAVEL_MIN, TRAVEL_SIGMA, P_DIRECT = 90.0, 2.0, 30.0, 2.0, 0.05
-PING_GAIN, LOG_ELSEWHERE, LOOKBACK = 11.0, math.log(0.05), 8
+PLACE_M, TRAVEL_KM2, LOG_ELSEWHERE = 10.0, 100.0, math.log(0.05)
+_LOG_ODDS = math.log(TRAVEL_KM2 * 1e6) - math.log(2 * math.pi * PLACE_M**2)
 
 
-def _log_normal(minutes: float, median: float, sigma: float) -> float:
-    z = (math.log(max(minutes, 1e-3)) - math.log(median)) / sigma
-    return -0.5 * z * z - math.log(sigma * max(minutes, 1e-3) * math.sqrt(2 * math.pi))
+@dataclass(frozen=True)
+class Durations:
+    """Log-normal durations in minutes (median, sigma) of stops and travel, and the chance that a stop follows a stop at
+    once."""
+
+    stop_min: float = 90.0
+    stop_sigma: float = 2.0
+    travel_min: float = 30.0
+    travel_sigma: float = 2.0
+    p_direct: float = 0.05
 
+    def stop(self, us: int) -> float:
+        return _log_normal(us / 60e6, self.stop_min, self.stop_sigma)
 
-def _travel(us: int, censored: bool) -> float:
-    """Log density of a travel duration; at the end of a session only its survival is known."""
-    m = us / 60e6
-    if m <= 0:
-        return 0.0 if censored else math.log(P_DIRECT)
-    if censored:
-        z = (math.log(m) - math.log(TRAVEL_MIN)) / TRAVEL_SIGMA
+    def travel(self, us: int) -> float:
+        """Log density of a travel between two stops."""
+        if us <= 0:
+            return math.log(self.p_direct)
+        return math.log(1 - self.p_direct) + _log_normal(us / 60e6, self.travel_min, self.travel_sigma)
+
+    def travel_at_least(self, us: int) -> float:
+        """Of a travel at an end, only its survival is known."""
+        if us <= 0:
+            return 0.0
+        z = (math.log(us / 60e6) - math.log(self.travel_min)) / self.travel_sigma
         return math.log(max(0.5 * math.erfc(z / math.sqrt(2)), 1e-12))
-    return math.log(1 - P_DIRECT) + _log_normal(m, TRAVEL_MIN, TRAVEL_SIGMA)
 
+    def travel_at_most(self) -> float:
+        """The largest log density of any travel."""
+        mode = math.exp(math.log(self.travel_min) - self.travel_sigma**2)
+        return max(math.log(self.p_direct), self.travel(int(max(mode, 1e-3) * 60e6)), self.travel(1))
 
-def _stop(us: int, min_us: int, pings: int, elsewhere: int) -> float:
-    if us < min_us:
-        return -math.inf
-    return _log_normal(us / 60e6, STOP_MIN, STOP_SIGMA) + PING_GAIN * pings + LOG_ELSEWHERE * elsewhere
+
+def _log_normal(minutes: float, median: float, sigma: float) -> float:
+    z = (math.log(max(minutes, 1e-3)) - math.log(median)) / sigma
+    return -0.5 * z * z - math.log(sigma * max(minutes, 1e-3) * math.sqrt(2 * math.pi))
+
+
+def _evidence(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Log odds of each ping of a dwell under stop against travel."""
+    x, y = _flat(lat, lon, lat[0], lon[0])
+    return _LOG_ODDS - ((x - x.mean()) ** 2 + (y - y.mean()) ** 2) / (2 * PLACE_M**2)
 
 
-def decode(units: list[dict], begin: int, end: int, min_us: int) -> list[dict]:
+def decode(units: list[dict], begin: int, end: int, min_us: int, durations: Durations = Durations()) -> list[dict]:
     """Viterbi over stop segments of one stretch of a session.
 
-    ``units``: dwells with ``t0 t1 n`` and the times ``at`` of their pings (absent where only totals are known:
-    such a dwell cannot be cut).
+    ``units``: dwells with ``t0 t1``, the times ``at`` of their pings, the pings' log odds ``odds`` and the number ``out``
+    of pings elsewhere within.
     """
     units = [u for u in units if u["t1"] - u["t0"] >= min_us]
     units.sort(key=lambda u: (u["t0"], -u["t1"]))
@@ -85,41 +110,41 @@ def decode(units: list[dict], begin: int, end: int, min_us: int) -> list[dict]:
             kept.append(u)
     segments = []
     for i, u in enumerate(kept):
-        los, his = [None], [None]
+        at, upto = u["at"], np.r_[0.0, np.cumsum(u["odds"])]
+        los, his = [0], [len(at)]
         if i and kept[i - 1]["t1"] >= u["t0"]:
-            los.append(kept[i - 1]["t1"])
+            los.append(int(np.searchsorted(at, kept[i - 1]["t1"], side="right")))
         if i + 1 < len(kept) and kept[i + 1]["t0"] <= u["t1"]:
-            his.append(kept[i + 1]["t0"])
+            his.append(int(np.searchsorted(at, kept[i + 1]["t0"])))
         for lo in los:
             for hi in his:
-                if lo is None and hi is None:
-                    segments.append((u["t0"], u["t1"], u["n"], u))
-                elif u.get("at") is not None:
-                    at = u["at"][(u["at"] > lo if lo is not None else True) & (u["at"] < hi if hi is not None else True)]
-                    if len(at) and at[-1] - at[0] >= min_us:
-                        segments.append((int(at[0]), int(at[-1]), len(at), u))
+                if hi > lo and at[hi - 1] - at[lo] >= min_us:
+                    score = durations.stop(int(at[hi - 1] - at[lo])) + float(upto[hi] - upto[lo]) + LOG_ELSEWHERE * u.get("out", 0)
+                    segments.append((int(at[lo]), int(at[hi - 1]), hi - lo, score, u))
     segments.sort(key=lambda s: (s[1], s[0]))
     best: list[float] = []
     back: list[int] = []
-    top, last = _travel(end - begin, True), -1
-    for i, (t0, t1, n, u) in enumerate(segments):
-        value, came, seen = _travel(t0 - begin, True), -1, 0
+    upto_best: list[float] = []  # the best of the segments so far
+    most = durations.travel_at_most()
+    top, last = durations.travel_at_least(end - begin), -1
+    for i, (t0, t1, _, score, _) in enumerate(segments):
+        value, came = durations.travel_at_least(t0 - begin), -1
         for j in range(i - 1, -1, -1):
+            if upto_best[j] + most <= value:  # none of the earlier ones can win
+                break
             if segments[j][1] < t0:
-                v = best[j] + _travel(t0 - segments[j][1], False)
+                v = best[j] + durations.travel(t0 - segments[j][1])
                 if v > value:
                     value, came = v, j
-                seen += 1
-                if seen == LOOKBACK:
-                    break
-        best.append(value + _stop(t1 - t0, min_us, n, u.get("out", 0)))
+        best.append(value + score)
         back.append(came)
-        v = best[i] + _travel(end - t1, True)
+        upto_best.append(max(best[i], upto_best[-1] if i else -math.inf))
+        v = best[i] + durations.travel_at_least(end - t1)
         if v > top:
             top, last = v, i
     chosen = []
     while last >= 0:
-        t0, t1, n, u = segments[last]
+        t0, t1, n, _, u = segments[last]
         chosen.append(u | {"t0": t0, "t1": t1, "n": n})
         last = back[last]
     return chosen[::-1]
@@ -292,8 +317,8 @@ def _stretches(units: list[dict]) -> list[list[dict]]:
     return out
 
 
-def _decoded(units: list[dict], min_us: int) -> list[dict]:
-    return [c for us in _stretches(units) for c in decode(us, us[0]["t0"], max(u["t1"] for u in us), min_us)]
+def _decoded(units: list[dict], min_us: int, durations: Durations) -> list[dict]:
+    return [c for us in _stretches(units) for c in decode(us, us[0]["t0"], max(u["t1"] for u in us), min_us, durations)]
 
 
 def _dedupe(block: pd.DataFrame) -> pd.DataFrame:
@@ -322,6 +347,7 @@ def stops_and_trips(
     min_stop_s: int = 1200,
     session_gap_s: int = 14400,
     max_elsewhere: int = 3,
+    durations: Durations = Durations(),
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """``traj_id, kind (stop|trip), start_at, end_at, duration_s, distance_m``; see the module for definitions."""
@@ -407,7 +433,7 @@ def stops_and_trips(
                 continue
             for p in [idx] if _fits(la[idx], lo[idx], radius_m) else [idx[q] for q in _by_place(la[idx], lo[idx], radius_m, max_elsewhere)]:
                 if t[p[-1]] - t[p[0]] >= min_us:
-                    units.append({"t0": int(t[p[0]]), "t1": int(t[p[-1]]), "n": len(p), "at": t[p], "i": p, "out": int(p[-1] - p[0] + 1 - len(p)), "s": int(sess[p[0]])})
+                    units.append({"t0": int(t[p[0]]), "t1": int(t[p[-1]]), "n": len(p), "at": t[p], "odds": _evidence(la[p], lo[p]), "i": p, "out": int(p[-1] - p[0] + 1 - len(p)), "s": int(sess[p[0]])})
         free, tied = units, []
         while True:  # what overlaps an open component, or a dwell that does, is decided outside the block
             hit = [any(s == u["s"] and b <= u["t1"] and e >= u["t0"] for s, b, e in spans) for u in free]
@@ -435,7 +461,7 @@ def stops_and_trips(
             far = idx[_hull(*_flat(la[idx], lo[idx], la[idx[0]], lo[idx[0]]))]
             out.append(event(_OPEN, idx[0], idx[-1], len(idx), block=number, unit=m, into=u.get("into", []), heads=u.get("heads", []), hla=la[far].tolist(), hlo=lo[far].tolist()))
         for us in [[u for u in free if u["s"] == s] for s in dict.fromkeys(u["s"] for u in free)]:
-            for c in _decoded(us, min_us):
+            for c in _decoded(us, min_us, durations):
                 i, j = np.searchsorted(t[c["i"]], (c["t0"], c["t1"]))
                 out.append(event(_STOP, c["i"][i], c["i"][j], c["n"]))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _EVENT.split(", ")])
@@ -470,25 +496,29 @@ def stops_and_trips(
                 t, la, lo, c, at = (x[n].to_numpy() for n in ("t", "lat", "lon", "c", "at"))
                 for p in _by_place(la, lo, radius_m, max_elsewhere):
                     if t[p[-1]] - t[p[0]] >= min_us:
-                        units.append({"t0": int(t[p[0]]), "t1": int(t[p[-1]]), "n": len(p), "at": t[p], "c": c[p], "out": int(at[p[-1]] - at[p[0]] + 1 - len(p))})
-            out = [(g["k"].iloc[0], _STOP, u["t0"], u["t1"], *u["c"][np.searchsorted(u["all"], (u["t0"], u["t1"]))]) for u in _decoded([u | {"all": u["at"]} for u in units], min_us)]
+                        units.append({"t0": int(t[p[0]]), "t1": int(t[p[-1]]), "n": len(p), "at": t[p], "odds": _evidence(la[p], lo[p]), "c": c[p], "out": int(at[p[-1]] - at[p[0]] + 1 - len(p))})
+            out = [(g["k"].iloc[0], _STOP, u["t0"], u["t1"], *u["c"][np.searchsorted(u["all"], (u["t0"], u["t1"]))]) for u in _decoded([u | {"all": u["at"]} for u in units], min_us, durations)]
             return pd.DataFrame(out, columns=plain)
 
         untied = blocks.map(gather, _KNOT).groupBy("g").applyInPandas(untie, "k string, kind int, t0 long, t1 long, c0 double, c1 double")
         marks = marks.unionByName(untied)
-    w = Window.partitionBy("k").orderBy("t0", "kind", "t1")
-    # a key's marks only (some per cent of its pings); the window streams over them
-    seq = marks.withColumns({"p1": F.lag("t1").over(w), "pc": F.lag("c1").over(w)})
-    part = lambda kind, a, b, ca, cb: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), (cb - ca).alias("distance_m"))
-    c = F.col
-    trip = F.when((c("kind") != _START) & (c("p1") < c("t0")), part("trip", c("p1"), c("t0"), c("pc"), c("c0")))
-    stop = F.when(c("kind") == _STOP, part("stop", c("t0"), c("t1"), c("c0"), c("c1")))
-    rows = seq.select("k", F.explode(F.array_compact(F.array(trip, stop))).alias("x"))
-    as_text = lambda name: F.expr(f"date_format(timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast({name} / 1000000 AS decimal(18, 6))), 'yyyy-MM-dd HH:mm:ss')")
-    return rows.select(
-        c("k").alias("traj_id"), c("x.kind").alias("kind"), as_text("x.a").alias("start_at"), as_text("x.b").alias("end_at"),
-        ((c("x.b") - c("x.a")) / 1e6).alias("duration_s"), F.greatest(c("x.distance_m"), F.lit(0.0)).alias("distance_m"),
-    )
+    lines = OrderedBlocks(marks, ["k", "t0", "kind", "t1"], [], rows_per_block=rows_per_block)
+    ends = lines.reports(lambda m: m[["k", "t1", "c1"]].iloc[-1:].copy(), "k string, t1 long, c1 double")
+    ahead = dict(zip(ends[BLOCK].tolist()[1:], ends[["k", "t1", "c1"]].itertuples(index=False)))
+
+    def legs(m: pd.DataFrame, number: int) -> pd.DataFrame:
+        """Stops, and a trip wherever time passes from one mark of a key to the next."""
+        e = ahead.get(number, (None, 0, 0.0))
+        k, kind, t0, t1, c0, c1 = (m[c].to_numpy() for c in plain)
+        k0, p1, pc = np.r_[np.array([e[0]], object), k[:-1]], np.r_[[int(e[1])], t1[:-1]], np.r_[[float(e[2])], c1[:-1]]
+        trip, stop = (k == k0) & (kind != _START) & (p1 < t0), kind == _STOP
+        a, b = np.r_[p1[trip], t0[stop]], np.r_[t0[trip], t1[stop]]
+        return pd.DataFrame({
+            "traj_id": np.r_[k[trip], k[stop]], "kind": np.repeat(np.array(["trip", "stop"], object), [trip.sum(), stop.sum()]), "start_at": text_time(a), "end_at": text_time(b),
+            "duration_s": (b - a) / 1e6, "distance_m": np.maximum(np.r_[c0[trip] - pc[trip], c1[stop] - c0[stop]], 0.0),
+        })
+
+    return lines.map(legs, "traj_id string, kind string, start_at string, end_at string, duration_s double, distance_m double")
 
 
 def _join_pieces(pieces: pd.DataFrame, radius_m: float, min_us: int) -> tuple[list[dict], dict[int, dict[int, tuple[int, int]]]]:

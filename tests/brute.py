@@ -69,6 +69,29 @@ def implausible(df: pd.DataFrame, bounds: dict) -> set:
     return out
 
 
+def stretches(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius: float = 30.0, least_us: float = 1200e6, elsewhere: int = 3) -> list[tuple[int, int]]:
+    """Longest stretches (first, last ping) that some disc of the radius holds, but for up to so many successive pings.
+
+    Every disc that matters can be moved until two of its pings lie on its edge (or one is its centre), so these are tried,
+    all of them.
+    """
+    metre = np.radians(6371000.0)
+    x, y = ((lon - lon[0] + 180) % 360 - 180) * np.cos(np.radians(lat.mean())) * metre, (lat - lat[0]) * metre
+    far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+    i, j = np.nonzero(np.triu(far <= 4 * radius**2 * (1 + 1e-9), 1))
+    d = np.sqrt(far[i, j])
+    h = np.sqrt(np.maximum(radius**2 - d * d / 4, 0))
+    ux, uy = (x[j] - x[i]) / np.maximum(d, 1e-12), (y[j] - y[i]) / np.maximum(d, 1e-12)
+    mx, my = (x[i] + x[j]) / 2, (y[i] + y[j]) / 2
+    found = set()
+    for cx, cy in zip(np.r_[mx - uy * h, mx + uy * h, x], np.r_[my + ux * h, my - ux * h, y]):
+        at = np.flatnonzero((x - cx) ** 2 + (y - cy) ** 2 <= (radius + 1e-6) ** 2)
+        for run in np.split(at, np.flatnonzero(np.diff(at) > elsewhere + 1) + 1):
+            if len(run) and t[run[-1]] - t[run[0]] >= least_us:
+                found.add((int(run[0]), int(run[-1])))
+    return [p for p in sorted(found) if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in found)]
+
+
 def stops_and_trips(df: pd.DataFrame) -> set:
     df = df[df.lat.notna() & df.lon.notna()].sort_values(["traj_id", "DateTime", "row_id"]).drop_duplicates(["traj_id", "DateTime"])
     out = set()
@@ -78,21 +101,8 @@ def stops_and_trips(df: pd.DataFrame) -> set:
         text = lambda i: str(np.datetime64(int(t[i]), "us").astype("datetime64[s]")).replace("T", " ")  # noqa: B023, E731
         breaks = np.flatnonzero(np.diff(t) > 14400e6) + 1
         for s, e in zip(np.r_[0, breaks], np.r_[breaks, len(t)]):
-            stops, i = [], s
-            while i < e:
-                own, missed, j = [i], 0, i + 1
-                while j < e and missed <= 3:
-                    if haversine_m(la[own].mean(), lo[own].mean(), la[j], lo[j]) <= 30:
-                        own.append(j)
-                        missed = 0
-                    else:
-                        missed += 1
-                    j += 1
-                if t[own[-1]] - t[own[0]] >= 1200e6:
-                    stops.append((own[0], own[-1]))
-                    i = own[-1] + 1
-                else:
-                    i += 1
+            stops = [(s + a, s + b) for a, b in stretches(t[s:e], la[s:e], lo[s:e])]
+            assert all(b < c for (_, b), (c, _) in zip(stops, stops[1:])), "stretches overlap: the tables have no such case"
             prev = s
             for a, b in stops:
                 out.add((k, "stop", text(a), text(b)))

@@ -160,12 +160,76 @@ def test_trip_distance_is_the_path(spark):
 
 
 def test_contested_dwells_are_cut_where_they_overlap():
-    a = {"t0": 0, "t1": 100, "n": 11, "at": np.arange(0, 101, 10), "out": 2}
-    b = {"t0": 85, "t1": 300, "n": 20, "at": np.r_[85, np.arange(105, 301, 10)], "out": 1}
+    a = {"t0": 0, "t1": 100, "n": 11, "at": np.arange(0, 101, 10), "odds": np.full(11, 11.0), "out": 2}
+    b = {"t0": 85, "t1": 300, "n": 21, "at": np.r_[85, np.arange(105, 301, 10)], "odds": np.full(21, 11.0), "out": 1}
     got = stops.decode([a, b], 0, 300, 40)
     assert [(u["t0"], u["t1"]) for u in got] in ([(0, 100), (105, 295)], [(0, 80), (85, 300)])
 
 
+MIN = 60_000_000
+
+
+def _rivals(between_a=0.0, between_b=0.0):
+    """Two dwells, one ping every ten minutes, that both claim the pings of minutes 40 to 60."""
+    at_a, at_b = np.arange(0, 61, 10) * MIN, np.arange(40, 141, 10) * MIN
+    a = {"t0": 0, "t1": 60 * MIN, "n": 7, "at": at_a, "odds": 11.0 - np.where(at_a >= 40 * MIN, between_a, 0.0)}
+    b = {"t0": 40 * MIN, "t1": 140 * MIN, "n": 11, "at": at_b, "odds": 11.0 - np.where(at_b <= 60 * MIN, between_b, 0.0)}
+    return [a, b]
+
+
+def test_durations_decide_between_rivals():
+    ends = lambda units, d: [(u["t0"] // MIN, u["t1"] // MIN) for u in stops.decode(units, 0, 140 * MIN, 20 * MIN, d)]
+    assert ends(_rivals(), stops.Durations(stop_min=65, stop_sigma=0.2)) == [(0, 60), (70, 140)]  # two stops of about an hour
+    assert ends(_rivals(), stops.Durations()) == [(0, 30), (40, 140)]  # wide: a short one and a long one
+    never = stops.Durations(travel_min=1e-3, travel_sigma=0.1)  # nobody travels for ten minutes: a single stop is left
+    assert len(ends(_rivals(), never)) == 1
+
+
+def test_emissions_decide_between_rivals():
+    ends = lambda units: [(u["t0"] // MIN, u["t1"] // MIN) for u in stops.decode(units, 0, 140 * MIN, 20 * MIN)]
+    assert ends(_rivals(between_b=2.0)) == [(0, 60), (70, 140)]  # the pings lie nearer to the first place
+    assert ends(_rivals(between_a=2.0)) == [(0, 30), (40, 140)]
+
+
+def test_viterbi_equals_all_choices():
+    """No predecessor is left out: the best of all sets of disjoint segments, on chains of many rivals."""
+    import itertools
+
+    rng = np.random.default_rng(12)
+    d = stops.Durations(stop_min=40, stop_sigma=0.5, travel_min=200, travel_sigma=0.3)
+    for _ in range(30):
+        units, t = [], 0
+        for _ in range(9):
+            t += int(rng.integers(5, 40))
+            at = np.arange(t, t + int(rng.integers(25, 70)), 5) * MIN
+            units.append({"t0": int(at[0]), "t1": int(at[-1]), "n": len(at), "at": at, "odds": rng.normal(0, 1, len(at))})
+        end = max(u["t1"] for u in units)
+        got = stops.decode(list(units), 0, end, 20 * MIN, d)
+
+        def score(chosen):
+            if not chosen:
+                return d.travel_at_least(end)
+            v = d.travel_at_least(chosen[0][0]) + d.travel_at_least(end - chosen[-1][1])
+            for (a, z, s), nxt in zip(chosen, [*chosen[1:], None]):
+                v += s + d.stop(z - a) + (d.travel(nxt[0] - z) if nxt else 0.0)
+            return v
+
+        def value(u, t0, t1):
+            return float(u["odds"][(u["at"] >= t0) & (u["at"] <= t1)].sum())
+
+        kept = []
+        for u in sorted(units, key=lambda u: (u["t0"], -u["t1"])):
+            if not (kept and u["t1"] <= kept[-1]["t1"]):
+                kept.append(u)
+        options = []
+        for i, u in enumerate(kept):
+            los = [u["t0"], *([int(x) for x in u["at"][u["at"] > kept[i - 1]["t1"]][:1]] if i and kept[i - 1]["t1"] >= u["t0"] else [])]
+            his = [u["t1"], *([int(x) for x in u["at"][u["at"] < kept[i + 1]["t0"]][-1:]] if i + 1 < len(kept) and kept[i + 1]["t0"] <= u["t1"] else [])]
+            options.append([None, *((a, z, value(u, a, z)) for a in los for z in his if z - a >= 20 * MIN)])
+        best = max(score([c for c in some if c]) for some in itertools.product(*options) if all(x[1] < y[0] for x, y in itertools.pairwise([c for c in some if c])))
+        assert score([(u["t0"], u["t1"], value(u, u["t0"], u["t1"])) for u in got]) == pytest.approx(best)
+
+
 def test_timestamps(spark):
     about = spark.createDataFrame([(1, "Europe/Berlin", "dmy"), (2, "America/New_York", "mdy"), (3, "UTC", None), (4, None, "dmy"), (5, "Australia/Lord_Howe", "dmy")], "station_id int, time_zone string, date_order string")
     cases = [
