@@ -63,17 +63,22 @@ def _signature(found: list[tuple[str, int, bool]], received: int | None) -> str:
     return "|".join(f"{form}:{_bin(us, received)}{'x' if against else ''}" for form, us, against in found)
 
 
+_NONE = -(1 << 62)  # stands for a missing time in integer columns
+_ISO_SIGNATURES = np.array([f"ymd4:{b}" for b in range(len(_LOG_DENSITY))], dtype=object)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
-        sig, us = [], []
-        for text, tz, got, done in zip(d["txt"], d["tz"], d["got"], d["done"]):
-            got = None if pd.isna(got) else int(got)
-            if not pd.isna(done):
-                found = [("ymd4", int(done), False)]
-            else:
-                found = interpretations(None if pd.isna(text) else text, zone(tz) if isinstance(tz, str) else None, got)
-            sig.append(_signature(found, got))
-            us.append([u for _, u, _ in found])
+        done, got = d["done"].to_numpy(), d["got"].to_numpy()
+        era = np.where((done >= _ERA[0]) & (done < _ERA[1]), _UNKNOWN, _OTHER_ERA)
+        bins = np.where(got == _NONE, era, np.searchsorted(_EDGES, (got - done) / 3.6e9))
+        sig, us = _ISO_SIGNATURES[bins], done[:, None].tolist()
+        text, tz = d["txt"].to_numpy(object), d["tz"].to_numpy(object)
+        for i in np.flatnonzero(done == _NONE):
+            at = None if got[i] == _NONE else int(got[i])
+            found = interpretations(text[i], zone(tz[i]) if tz[i] is not None else None, at)
+            sig[i] = _signature(found, at)
+            us[i] = [u for _, u, _ in found]
         yield pd.DataFrame({"id": d["id"], "src": d["src"], "declared": d["declared"], "sig": sig, "us": us})
 
 
@@ -139,7 +144,7 @@ def normalise_timestamps(
     txt = F.col(text).cast("string")
     iso = F.regexp_replace(F.regexp_replace(F.translate(F.upper(F.trim(txt)), "T,", " ."), "Z$", "+00:00"), r"\s*([+-]\d{2}):?(\d{2})$", "$1:$2")
     done = F.when(txt.rlike(_ISO), F.unix_micros(iso.try_cast("timestamp")))
-    rows = df.select(F.col(row_id).cast("string").alias("id"), F.col(source).cast("string").alias("src"), txt.alias("txt"), micros(received).alias("got"), done.alias("done"))
+    rows = df.select(F.col(row_id).cast("string").alias("id"), F.col(source).cast("string").alias("src"), txt.alias("txt"), F.coalesce(micros(received), F.lit(_NONE)).alias("got"), F.coalesce(done, F.lit(_NONE)).alias("done"))
     joined = rows.join(about, "src", "left").select("id", "src", "declared", "tz", "txt", "got", "done")
     parsed = reliable(joined.mapInPandas(_parse, "id string, src string, declared string, sig string, us array<long>"))
     counts = parsed.where(F.col("sig") != "").groupBy("src", "declared", "sig").agg(F.count("*").alias("n"))
