@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.even import GIANT
 from pathloom.operators.kinematic import create_distance_column
 from pathloom.schema import LAT, LON, ROW, TIME, TRAJ, MissingTrajIDException, need, ordered
 
@@ -84,9 +85,9 @@ def get_number_of_locations(df: DataFrame, traj_id: str | None = None):
     return row if traj_id is None else row[column]
 
 
-def distance_travelled(df: DataFrame) -> DataFrame:
+def distance_travelled(df: DataFrame, giant: int | None = GIANT) -> DataFrame:
     """Metres travelled by every trajectory; 0 for a single point."""
-    return create_distance_column(df).groupBy(TRAJ).agg(F.coalesce(F.sum("Distance"), F.lit(0.0)).alias("Distance"))
+    return create_distance_column(df, giant=giant).groupBy(TRAJ).agg(F.coalesce(F.sum("Distance"), F.lit(0.0)).alias("Distance"))
 
 
 def get_distance_travelled_by_traj_id(df: DataFrame, traj_id: str) -> float:

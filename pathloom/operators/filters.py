@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
+from pathloom.operators.even import CHUNK, GHOST, GIANT, giants, spread
 from pathloom.operators.kinematic import create_distance_column, create_speed_column
 from pathloom.operators.quantiles import exact_quantiles
 from pathloom.schema import LAT, LON, ROW, TIME, TRAJ, MissingTrajIDException, need, ordered, track
@@ -134,28 +135,43 @@ def remove_trajectories_with_less_points(df: DataFrame, num_min_points: int = 3)
     return df.join(small, F.col(TRAJ).eqNullSafe(F.col("_small")), "left_anti")
 
 
-def hampel_outlier_detection(df: DataFrame, column: str, window: int = 5, n: float = 3.0) -> DataFrame:
+def hampel_outlier_detection(df: DataFrame, column: str, window: int = 5, n: float = 3.0, giant: int | None = GIANT) -> DataFrame:
     """Drops rows whose value is further than ``n`` deviations from the rolling median of their trajectory.
 
     The window is the ``window`` rows before the row and the ``window - 1`` after the row with it; only full windows
     without nulls count. A row without one takes median and deviation of the next such row of the trajectory, else of
     the last one before. The deviation is 1.4826 times the median absolute deviation. Rows with a null value stay.
-    Features computed before are not computed again.
+    Features computed before are not computed again. Giant trajectories are cut into chunks (``even.py``).
     """
     need(df, column)
     df = ordered(df)
+    large = giants(df, [TRAJ], giant)
+    keys = [TRAJ] if large is None else [TRAJ, CHUNK]
+    rows = df if large is None else spread(df, large, [TRAJ], window, window - 1, giant=giant)
     size = 2 * window
-    w = track()
+    w = track(*keys[1:])
     values = F.collect_list(F.col(f"`{column}`").cast("double")).over(w.rowsBetween(-window, window - 1))
     middle = lambda a: (F.element_at(a, window) + F.element_at(a, window + 1)) / 2
-    step1 = df.withColumn("_hampel_v", values)
+    step1 = rows.withColumn("_hampel_v", values)
     step2 = step1.withColumn("_hampel_m", F.when(F.size("_hampel_v") == size, middle(F.array_sort("_hampel_v"))))
     step3 = step2.withColumn("_hampel_s", F.when(F.col("_hampel_m").isNotNull(), 1.4826 * middle(F.array_sort(F.transform("_hampel_v", lambda x: F.abs(x - F.col("_hampel_m")))))))
+    step4 = step3.withColumn("_hampel_p", F.when(F.col("_hampel_m").isNotNull(), F.struct("_hampel_m", "_hampel_s")))
+    if large is not None:
+        step4 = step4.where(~F.col(GHOST))
     # "the next one" is the last one in reverse order: a growing frame, linear in the length of a trajectory
-    back = Window.partitionBy(TRAJ).orderBy(F.desc(TIME), F.desc(ROW))
+    back = Window.partitionBy(*keys).orderBy(F.desc(TIME), F.desc(ROW))
     ahead, behind = back.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, 0)
-    pair = F.when(F.col("_hampel_m").isNotNull(), F.struct("_hampel_m", "_hampel_s"))
-    step4 = step3.withColumn("_hampel_p", pair)
-    step5 = step4.withColumn("_hampel_q", F.coalesce(F.last("_hampel_p", ignorenulls=True).over(ahead), F.last("_hampel_p", ignorenulls=True).over(behind)))
+    ways = [F.last("_hampel_p", ignorenulls=True).over(ahead), F.last("_hampel_p", ignorenulls=True).over(behind)]
+    if large is not None:  # one row a chunk tells what the other chunks have
+        at = F.when(F.col("_hampel_p").isNotNull(), F.struct(TIME, ROW))
+        chunks = step4.groupBy(*keys).agg(F.min_by("_hampel_p", at).alias("_first_p"), F.max_by("_hampel_p", at).alias("_last_p"))
+        order = Window.partitionBy(TRAJ).orderBy(CHUNK)
+        told = chunks.select(
+            F.col(TRAJ).alias("_hk"), F.col(CHUNK).alias("_hc"), F.first("_first_p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_next_p"),
+            F.last("_last_p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_p"),
+        )
+        step4 = step4.join(told, step4[TRAJ].eqNullSafe(F.col("_hk")) & (step4[CHUNK] == F.col("_hc")), "left").drop("_hk", "_hc")
+        ways = [ways[0], F.col("_next_p"), ways[1], F.col("_prev_p")]
+    step5 = step4.withColumn("_hampel_q", F.coalesce(*ways))
     far = F.abs(F.col(f"`{column}`") - F.col("_hampel_q._hampel_m")) > n * F.col("_hampel_q._hampel_s")
-    return step5.where(~F.coalesce(far, F.lit(False))).drop("_hampel_v", "_hampel_m", "_hampel_s", "_hampel_p", "_hampel_q")
+    return step5.where(~F.coalesce(far, F.lit(False))).select(*(f"`{c}`" for c in df.columns))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from pathloom.functions.times import micros
 from pathloom.operators.blocks import OrderedBlocks, edges, halos
+from pathloom.operators.even import CHUNK, GHOST, GIANT, giants, of_origin, spread
 from pathloom.operators.kinematic import create_bearing_column, create_distance_column
 from pathloom.schema import LAT, LON, ROW, TIME, TRAJ, need, ordered, track
 
@@ -29,10 +30,21 @@ def _prepared(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
 
 def _gaps(df: DataFrame, rate: float, extra: list[str], more: dict[str, Column]) -> DataFrame:
     """The row at the end of each gap above ``rate`` seconds, with what preceded it."""
-    w = track()
-    cols = {"_t0": F.lag(TIME).over(w), "_la": F.lag(LAT).over(w), "_lo": F.lag(LON).over(w)} | {f"_first_{c}": F.first(c).over(w) for c in extra} | more
+    w = _window(df)
+    cols = {"_t0": F.lag(TIME).over(w), "_la": F.lag(LAT).over(w), "_lo": F.lag(LON).over(w)} | {f"_first_{c}": of_origin(df, c, F.first(f"`{c}`").over(w)) for c in extra} | more
     out = df.withColumns(cols).withColumn("_dt", F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col(TIME)) / 1e6)
-    return out.where(F.col("_dt") > float(rate))
+    out = out.where(F.col("_dt") > float(rate))
+    return out.where(~F.col(GHOST)) if GHOST in df.columns else out
+
+
+def _window(df: DataFrame) -> WindowSpec:
+    return track(CHUNK) if CHUNK in df.columns else track()
+
+
+def _even(df: DataFrame, extra: list[str], giant: int | None) -> DataFrame:
+    """The rows for the windows: giant trajectories in chunks (``even.py``)."""
+    large = giants(df, [TRAJ], giant)
+    return df if large is None else spread(df, large, [TRAJ], 2, origin=tuple(extra) or (TRAJ,), giant=giant)
 
 
 def _new_time(rate: float) -> Column:
@@ -44,15 +56,16 @@ def _with_new(df: DataFrame, gaps: DataFrame, rate: float, lat: Column, lon: Col
     return df.select(TIME, TRAJ, LAT, LON, *extra).unionByName(made)
 
 
-def _linear(df: DataFrame, rate: float, extra: list[str]) -> DataFrame:
+def _linear(df: DataFrame, rate: float, extra: list[str], giant: int | None) -> DataFrame:
     part = float(rate) / F.col("_dt")
-    return _with_new(df, _gaps(df, rate, extra, {}), rate, F.col("_la") + (F.col(LAT) - F.col("_la")) * part, F.col("_lo") + (F.col(LON) - F.col("_lo")) * part, extra)
+    return _with_new(df, _gaps(_even(df, extra, giant), rate, extra, {}), rate, F.col("_la") + (F.col(LAT) - F.col("_la")) * part, F.col("_lo") + (F.col(LON) - F.col("_lo")) * part, extra)
 
 
-def _kinematic(df: DataFrame, rate: float, extra: list[str], compat: bool) -> DataFrame:
-    w = track()
+def _kinematic(df: DataFrame, rate: float, extra: list[str], compat: bool, giant: int | None) -> DataFrame:
+    rows = _even(df, extra, giant)
+    w = _window(rows)
     dt = F.timestamp_diff("MICROSECOND", F.lag(TIME).over(w), F.col(TIME)) / 1e6
-    moved = df.withColumns({"_vla": F.try_divide(F.col(LAT) - F.lag(LAT).over(w), dt), "_vlo": F.try_divide(F.col(LON) - F.lag(LON).over(w), dt)})
+    moved = rows.withColumns({"_vla": F.try_divide(F.col(LAT) - F.lag(LAT).over(w), dt), "_vlo": F.try_divide(F.col(LON) - F.lag(LON).over(w), dt)})
     gaps = _gaps(moved, rate, extra, {"_vla0": F.lag("_vla").over(w), "_vlo0": F.lag("_vlo").over(w)}).where(F.col("_vla0").isNotNull() & F.col("_vlo0").isNotNull())
     span = F.col("_dt")
     if compat:
@@ -140,21 +153,25 @@ def _cubic(df: DataFrame, rate: float, extra: list[str]) -> DataFrame:
     return df.select(TIME, TRAJ, LAT, LON, *extra).unionByName(made.select(at.alias(TIME), F.col("k").alias(TRAJ), clean(LAT), clean(LON), *extra))
 
 
-def _random_walk(df: DataFrame, rate: float, extra: list[str], seed: int) -> DataFrame:
-    known = create_bearing_column(create_distance_column(df))
+def _random_walk(df: DataFrame, rate: float, extra: list[str], seed: int, giant: int | None) -> DataFrame:
+    rows = _even(df, extra, giant)
+    within = [CHUNK] if CHUNK in rows.columns else []
+    known = create_bearing_column(create_distance_column(rows, *within, giant=None), *within, giant=None)
+    known = known.where(~F.col(GHOST)) if within else known
     stat = known.groupBy(TRAJ).agg(F.count("*").alias("_n"), F.avg("Distance").alias("_md"), F.stddev_samp("Distance").alias("_sd"), F.avg("Bearing").alias("_mb"), F.stddev_samp("Bearing").alias("_sb"))
-    unit = lambda k: (F.pmod(F.xxhash64(F.col(TRAJ), F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # 48 bits of a hash that every engine has
+    unit = lambda k: (F.conv(F.substring(F.md5(F.concat_ws("|", F.col(TRAJ), F.lit(str(seed)), F.lit(str(k)))), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
     normal = lambda k: F.sqrt(-2 * F.log(unit(k))) * F.cos(2 * np.pi * unit(k + 1))
     draw = stat.where((F.col("_n") > 3) & F.col("_sd").isNotNull() & F.col("_sb").isNotNull()).select(
         F.col(TRAJ).alias("_id"), (F.col("_md") + F.col("_sd") * normal(0)).alias("_a"), F.radians(F.col("_mb") + F.col("_sb") * normal(2)).alias("_b")
     )
-    gaps = _gaps(df, rate, extra, {}).join(draw, F.col(TRAJ) == F.col("_id"))
+    gaps = _gaps(rows, rate, extra, {}).join(draw, F.col(TRAJ) == F.col("_id"))
     lat = F.col("_la") + F.degrees(F.col("_a") * F.cos("_b") / EARTH_M)
     lon = F.col("_lo") + F.degrees(F.col("_a") * F.sin("_b") / EARTH_M) / F.cos(F.radians("_la"))
     return _with_new(df, gaps, rate, lat, lon, extra)
 
 
-def interpolate_position(df: DataFrame, sampling_rate: float, ip_type: str = "linear", class_label_col: str = "", compat: bool = False, seed: int = 42) -> DataFrame:
+def interpolate_position(df: DataFrame, sampling_rate: float, ip_type: str = "linear", class_label_col: str = "", compat: bool = False, seed: int = 42, giant: int | None = GIANT) -> DataFrame:
     """``ip_type``: linear, cubic, kinematic or random-walk (case and outer blanks do not matter).
 
     Cubic and random walk leave trajectories of up to three points as they are; kinematic leaves the gap after a first
@@ -164,11 +181,11 @@ def interpolate_position(df: DataFrame, sampling_rate: float, ip_type: str = "li
     kind = ip_type.lower().strip()
     rows, extra = _prepared(df, class_label_col)
     if kind == "linear":
-        return _linear(rows, sampling_rate, extra)
+        return _linear(rows, sampling_rate, extra, giant)
     if kind == "cubic":
         return _cubic(rows, sampling_rate, extra)
     if kind == "kinematic":
-        return _kinematic(rows, sampling_rate, extra, compat)
+        return _kinematic(rows, sampling_rate, extra, compat, giant)
     if kind == "random-walk":
-        return _random_walk(rows, sampling_rate, extra, seed)
+        return _random_walk(rows, sampling_rate, extra, seed, giant)
     raise ValueError(f"unknown interpolation {ip_type!r}")

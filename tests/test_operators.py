@@ -102,6 +102,42 @@ def test_chunked_features_are_the_same(walk, chunk_s):
     assert get(generate_kinematic_features_chunked(walk, chunk_s)) == get(K.generate_kinematic_features(walk))
 
 
+@pytest.fixture(scope="module")
+def dirty(spark):
+    """Nulls, NaN as null, repeats, ties and late rows, one trajectory with a third of the rows; an awkward extra column."""
+    df = schema.as_trajectories(spark.read.parquet("/root/testdata/sf0.001/animal_points.parquet"))
+    third = F.when(F.col("row_id") % 3 == 0, "giant").otherwise(F.col("traj_id"))
+    df = df.withColumn("traj_id", third).withColumns({"value": F.pmod(F.xxhash64("row_id"), F.lit(1000)) / 10.0, "tags": F.create_map(F.lit("a"), F.lit(1))})
+    df = df.withColumn("value", F.when(F.col("row_id") % 29 != 0, F.col("value"))).withColumn("DateTime", F.when(F.col("row_id") % 97 != 0, F.col("DateTime")))
+    df = df.unionByName(df.where("row_id % 50 = 1").withColumn("row_id", F.col("row_id") + 10_000_000))
+    return df.unionByName(df.where("row_id < 9").withColumns({"traj_id": F.lit(None).cast("string"), "row_id": F.col("row_id") + 20_000_000}))
+
+
+@pytest.mark.parametrize("giant", [300, 40])
+def test_giants_in_chunks_have_the_same_features(dirty, giant):
+    get = lambda df: {r["row_id"]: tuple(r[f] for f in FEATURES) for r in df.collect()}
+    want, got = K.generate_kinematic_features(dirty, giant=None), K.generate_kinematic_features(dirty, giant=giant)
+    assert got.columns == want.columns and get(got) == get(want) and got.count() == dirty.count()
+    days = dirty.withColumn("Date", F.to_date("DateTime"))
+    one = lambda df: {r["row_id"]: (r["Speed"], r["Jerk"]) for r in df.collect()}
+    assert one(K.create_jerk_column(days, "Date", giant=20)) == one(K.create_jerk_column(days, "Date", giant=None))
+    assert sorted(map(str, A.distance_travelled(dirty, giant=giant).collect())) == sorted(map(str, A.distance_travelled(dirty, giant=None).collect()))
+
+
+@pytest.mark.parametrize("kind", ["linear", "kinematic", "random-walk"])
+def test_giants_in_chunks_are_filled_alike(dirty, kind):
+    df = dirty.where("traj_id IS NOT NULL").drop("tags")
+    near = lambda df: sorted((r["traj_id"], str(r["DateTime"]), r["lat"] is None or round(r["lat"], 7), r["lon"] is None or round(r["lon"], 7), str(r["Species"])) for r in df.collect())
+    a, b = (I.interpolate_position(df, 3600, kind, class_label_col="Species", giant=g) for g in (None, 60))
+    assert near(a) == near(b) and a.count() > df.count()
+
+
+def test_giants_in_chunks_lose_the_same_outliers(dirty):
+    ids = lambda df: sorted(r["row_id"] for r in df.collect())
+    want, got = Fi.hampel_outlier_detection(dirty, "value", giant=None, n=1.5), Fi.hampel_outlier_detection(dirty, "value", giant=40, n=1.5)
+    assert ids(want) == ids(got) and 0 < len(ids(want)) < dirty.count() and want.columns == got.columns == dirty.columns
+
+
 def test_compat_rate(spark):
     df = points(spark, [("a", 10 * i, 0.001 * i * i, 0.002 * (i % 3)) for i in range(6)])
     a = K.create_rate_of_br_column(df, compat=True).orderBy("row_id").collect()
