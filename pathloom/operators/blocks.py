@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
@@ -30,17 +30,23 @@ ROWS_PER_BLOCK = 150_000
 _CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names (``spark.checkpoint.dir`` of the session). A folder of its own is
-    taken only where none is named and all of Spark is one process (tests); elsewhere that is an error, because one
-    machine's folder is not another's. The files go when nothing refers to them any more."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names (``spark.checkpoint.dir`` of the session), which also holds checkpoints. A folder
+    of its own is taken only where none is named and all of Spark is one process (tests); elsewhere that is an error,
+    because one machine's folder is not another's."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathloom-"))
-    conf = sc._jsc.sc().conf()
+    return named or sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder. The files go when nothing refers to them any more."""
+    shared_folder(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
     before = conf.get(_CLEAN, "false")
     conf.set(_CLEAN, "true")  # read when the checkpoint is written
     try:

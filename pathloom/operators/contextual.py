@@ -29,21 +29,21 @@ def visited_location(df: DataFrame, layers: DataFrame, name: str, column: str) -
     return met.withColumn(f"Visited_{name}", F.coalesce("_hit", F.lit(0))).drop("_vla", "_vlo", "_hit")
 
 
-def visited_poi(df: DataFrame, surroundings: DataFrame, dist_column: str, nearby_threshold: float, cell: float | None = None) -> DataFrame:
+def visited_poi(df: DataFrame, surroundings: DataFrame, dist_column: str, nearby_threshold: float) -> DataFrame:
     """``Nearby_POI``: whether some surrounding's distance column differs from its distance to the point by at most the
-    threshold. Each surrounding is sent to the grid cells that its outer ring meets; a point is joined there only. Without
-    ``cell`` (degrees) the size follows the largest ring, so a surrounding meets a bounded number of cells."""
+    threshold. Each surrounding is sent to the cells that its outer ring meets, on the grid of its size class; a point is
+    joined there only, so wide surroundings do not coarsen the search for small ones."""
     need(df, LAT, LON)
     need(surroundings, LAT, LON, dist_column)
     df = ordered(df)
     s = surroundings.select(F.col(LAT).cast("double").alias("_sla"), F.col(LON).cast("double").alias("_slo"), F.col(f"`{dist_column}`").cast("double").alias("_sd"))
     s = s.where(F.col("_sla").isNotNull() & F.col("_slo").isNotNull() & (F.col("_sd") >= -float(nearby_threshold))).distinct()
-    if cell is None:
-        cell = geo.cell_for(2 * ((s.agg(F.max("_sd")).first()[0] or 0.0) + float(nearby_threshold)) / 111_000)
+    s = s.withColumn("_class", geo.size_class(2 * (F.col("_sd") + float(nearby_threshold)) / 111_000))
+    classes = sorted(r["_class"] for r in s.select("_class").distinct().collect())  # at most geo.CLASSES
     box = geo.bounding_box_columns(F.col("_sla"), F.col("_slo"), F.col("_sd") + float(nearby_threshold) + 1e-3)
-    cells = s.withColumn("_cell", F.explode(geo.grid_cells(*box, cell)))
+    cells = s.withColumn("_cell", F.explode(geo.cells_of_class(F.col("_class"), classes, box)))
     near = F.abs(F.col("_sd") - geo.haversine(F.col(LAT), F.col(LON), F.col("_sla"), F.col("_slo"))) <= float(nearby_threshold)
-    points = df.select(LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).distinct().withColumn("_cell", geo.grid_cell(F.col(LAT), F.col(LON), cell))
+    points = df.select(LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).distinct().withColumn("_cell", F.explode(geo.cells_of_point(F.col(LAT), F.col(LON), classes)))
     hits = points.join(cells, "_cell").where(near).select(F.col(LAT).alias("_hla"), F.col(LON).alias("_hlo")).distinct().withColumn("_hit", F.lit(True))
     return df.join(hits, (F.col(LAT) == F.col("_hla")) & (F.col(LON) == F.col("_hlo")), "left").withColumn("Nearby_POI", F.coalesce("_hit", F.lit(False))).drop("_hla", "_hlo", "_hit")
 
@@ -56,12 +56,26 @@ def trajectories_inside_polygon(df: DataFrame, polygon: list[tuple[float, float]
 
 def traj_intersect_inside_polygon(df1: DataFrame, df2: DataFrame, polygon: list[tuple[float, float]]) -> DataFrame:
     """Points of two tables with equal coordinates in a polygon: ``traj_id_1, DateTime_1, lat, lon, traj_id_2,
-    DateTime_2``; times are not compared."""
+    DateTime_2``; times are not compared. A place with n points of one table and m of the other gives n times m rows:
+    for large tables see ``shared_places``."""
     a = trajectories_inside_polygon(df1, polygon).select(F.col(TRAJ).alias("traj_id_1"), F.col(TIME).alias("DateTime_1"), LAT, LON)
     b = trajectories_inside_polygon(df2, polygon).select(F.col(TRAJ).alias("traj_id_2"), F.col(TIME).alias("DateTime_2"), LAT, LON)
     return a.join(b, [LAT, LON]).select("traj_id_1", "DateTime_1", LAT, LON, "traj_id_2", "DateTime_2")
 
 
+def shared_places(df1: DataFrame, df2: DataFrame, polygon: list[tuple[float, float]]) -> DataFrame:
+    """The same crossings, one row for each place: ``lat, lon, points_1, points_2, trajectories_1, trajectories_2`` of the
+    coordinates in the polygon that both tables have. The points at a place are its members; their pairs are not spelt
+    out, so the result and the work grow with the points, also where a third of them share one place."""
+    both = None
+    for i, df in ((1, df1), (2, df2)):
+        at = trajectories_inside_polygon(df, polygon).select(LAT, LON, TRAJ)
+        # distinct trajectories of a place in two levels, so a crowded place is no single task
+        per = at.groupBy(LAT, LON, TRAJ).agg(F.count("*").alias("n")).groupBy(LAT, LON).agg(F.sum("n").alias(f"points_{i}"), F.count(TRAJ).alias(f"trajectories_{i}"))
+        both = per if both is None else both.join(per, [LAT, LON])
+    return both.select(LAT, LON, "points_1", "points_2", "trajectories_1", "trajectories_2")
+
+
 def nearest_poi(pois: DataFrame, coords: tuple[float, float], dist_threshold: float, tags: dict[str, object] | None = None, tag_column: str = "tags") -> DataFrame:
     """Rows of a table of places at the least distance from ``coords`` (all ties) within the threshold, with
     ``Distance``. ``tags``: wanted values of a map column; ``True`` for any value, a list for one of several."""

@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.blocks import BLOCK, ROWS_PER_BLOCK, OrderedBlocks
+from pathloom.operators.blocks import BLOCK, ROWS_PER_BLOCK, OrderedBlocks, reliable
 
 
 def exact_quantiles(df: DataFrame, value: Column, probabilities: list[float]) -> list[float | None]:
     """Quantiles of the non-null values; ``None`` for each if there are none."""
-    blocks = OrderedBlocks(df.select(value.cast("double").alias("v")).where("v IS NOT NULL"), ["v"], [])
+    # written once: whatever the column is derived from is computed once, not for each pass
+    blocks = OrderedBlocks(reliable(df.select(value.cast("double").alias("v")).where("v IS NOT NULL")), ["v"], [])
     sizes = blocks.reports(lambda b: pd.DataFrame({"n": [len(b)]}), "n long")
     total = int(sizes["n"].sum())
     if not total:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.even import GIANT, giants
 from pathloom.operators.kinematic import generate_kinematic_features
 from pathloom.operators.linked import generate_kinematic_features_chunked
 from pathloom.operators.quantiles import exact_quantiles, grouped_quantiles
@@ -39,9 +40,6 @@ def segment_traj_by_days(df: DataFrame, num_days: int, mode: str = "cumulative")
     return rows.where(most >= 1).withColumn(SEG, F.explode(F.sequence(F.lit(1), most))).drop("_id", "_a", "_z")
 
 
-GIANT = 2_000_000  # points of one trajectory (or segment) from which no task gathers it
-
-
 def _summaries(target: str) -> list[Column]:
     out = []
     for f in FEATURES:
@@ -53,10 +51,10 @@ def _wide(df: DataFrame, target: str, segmented: bool, compat: bool, giant: int)
     keys = [TRAJ, SEG] if segmented else [TRAJ]
     need(df, target, *keys)
     plain = ordered(df.drop(*FEATURES))
-    large = plain.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > int(giant)).drop("_n")
-    some = not large.isEmpty()
+    large = giants(plain, keys, giant)
+    some = large is not None
     usual = plain.join(large, keys, "left_anti") if some else plain
-    full = generate_kinematic_features(usual, *keys[1:], compat=compat)
+    full = generate_kinematic_features(usual, *keys[1:], compat=compat, giant=None)
     exact = [F.percentile(f, F.array(*(F.lit(p) for p in PERCENTS.values()))).alias(f"{f}__p") for f in FEATURES]
     wide = full.groupBy(*keys).agg(*exact, *_summaries(target))
     if some:
@@ -96,6 +94,13 @@ def generate_kinematic_stats(df: DataFrame, target_col_name: str, segmented: boo
     return wide.select(*keys, target_col_name, F.explode(rows).alias("x")).select(*keys, "x.*", target_col_name)
 
 
+def generate_pivoted_stats(df: DataFrame, target_col_name: str, segmented: bool = False, compat: bool = False, giant: int = GIANT) -> DataFrame:
+    """``pivot_stats_df(generate_kinematic_stats(...))`` without the way through the long form."""
+    wide, keys = _wide(df, target_col_name, segmented, compat, giant)
+    at = {name: (lambda f, i=i: F.get(f"{f}__p", i)) for i, name in enumerate(PERCENTS)} | {s: (lambda f, s=s: F.col(f"{f}__{s}")) for s in ("min", "max", "mean", "std")}
+    return wide.select(*keys, *(at[s](f).alias(f"{s}_{f}") for f in FEATURES for s in STATS), target_col_name)
+
+
 def pivot_stats_df(stats: DataFrame, target_col_name: str, segmented: bool = False) -> DataFrame:
     """Wide form of ``generate_kinematic_stats``: ``{stat}_{feature}`` in a fixed order, then the label."""
     keys = [TRAJ, SEG] if segmented else [TRAJ]
@@ -114,17 +119,20 @@ def describe_column(df: DataFrame, column: str) -> DataFrame:
     return out.withColumns({name: F.lit(v).cast("double") for name, v in zip(PERCENTS, got)})
 
 
-def feature_importance(df: DataFrame, target: str, features: tuple[str, ...] = (*FEATURES, LAT, LON), bins: int = 16) -> DataFrame:
-    """``feature, mutual_information`` (nats) between each feature and a class label.
+def feature_importance(df: DataFrame, target: str, features: tuple[str, ...] = (*FEATURES, LAT, LON), bins: int = 16, top: int | None = None) -> DataFrame:
+    """``feature, mutual_information`` (nats) between each feature and a class label, of the ``top`` features or all.
 
-    Features are cut into ``bins`` of about equal counts by approximate quantiles (mergeable sketches); the information
-    comes from counts per (feature, bin, class). Null features and labels do not count.
+    Rows that lack the label or any of the features are left out, so all features are measured on the same rows. Features
+    are cut into ``bins`` of about equal counts by quantiles (mergeable sketches, a rank's error is 1/10,000 of the rows at most); the
+    information comes from counts per (feature, bin, class). No such rows: every feature has none, so there is no result.
     """
     need(df, target, *features)
-    cuts = df.agg(*(F.percentile_approx(F.col(f"`{f}`").cast("double"), [i / bins for i in range(1, bins)], 10000).alias(f) for f in features)).first()
-    parts = [F.struct(F.lit(f).alias("feature"), sum((F.when(F.col(f"`{f}`") > c, 1).otherwise(0) for c in sorted(set(cuts[f] or []))), F.lit(0)).alias("bin"), F.col(f"`{f}`").isNotNull().alias("ok")) for f in features]
-    rows = df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").cast("string").alias("y"), F.explode(F.array(*parts)).alias("x")).where("x.ok")
-    joint = rows.groupBy("x.feature", "x.bin", "y").agg(F.count("*").alias("n"))
+    number = lambda f: F.col(f"`{f}`").cast("double")
+    whole = df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").cast("string").alias("y"), *(F.when(~F.isnan(number(f)), number(f)).alias(f"f{i}") for i, f in enumerate(features))).na.drop("any")
+    cuts = whole.agg(*(F.percentile_approx(f"f{i}", [j / bins for j in range(1, bins)], 10000).alias(f"f{i}") for i in range(len(features)))).first()
+    parts = [F.struct(F.lit(f).alias("feature"), sum((F.when(F.col(f"f{i}") > c, 1).otherwise(0) for c in sorted(set(cuts[f"f{i}"] or []))), F.lit(0)).alias("bin")) for i, f in enumerate(features)]
+    joint = whole.select("y", F.explode(F.array(*parts)).alias("x")).groupBy("x.feature", "x.bin", "y").agg(F.count("*").alias("n"))
     by = lambda *c: F.sum("n").over(Window.partitionBy(*c))
     terms = joint.withColumns({"nx": by("feature", "bin"), "ny": by("feature", "y"), "all": by("feature")})
-    return terms.groupBy("feature").agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))).alias("mutual_information"))
+    out = terms.groupBy("feature").agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))).alias("mutual_information"))
+    return out if top is None else out.orderBy(F.desc("mutual_information"), "feature").limit(int(top))

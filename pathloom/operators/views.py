@@ -64,13 +64,15 @@ def pasture_bounds(habitat: DataFrame, column: str = "CowPast") -> DataFrame:
     return habitat.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(LAT).alias("min_lat"), F.min(LON).alias("min_lon"), F.max(LAT).alias("max_lat"), F.max(LON).alias("max_lon"))
 
 
-def animals_by_pasture(df: DataFrame, habitat: DataFrame, column: str = "CowPast", cell: float | None = None) -> DataFrame:
-    """``{column}, Species, n``: distinct animals that were within each pasture's bounds, by species."""
+def animals_by_pasture(df: DataFrame, habitat: DataFrame, column: str = "CowPast") -> DataFrame:
+    """``{column}, Species, n``: distinct animals that were within each pasture's bounds, by species. Pastures and points
+    meet on grids by size class, so a wide pasture does not coarsen the search for small ones."""
     boxes = pasture_bounds(habitat, column)
-    if cell is None:  # follows the widest pasture, so a pasture meets a bounded number of cells
-        cell = geo.cell_for(boxes.agg(F.max(F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon")))).first()[0], 16)
-    boxes = boxes.withColumn("_cell", F.explode(geo.grid_cells(F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), F.col("max_lon"), cell)))
-    points = df.select(TRAJ, LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).withColumn("_cell", geo.grid_cell(F.col(LAT), F.col(LON), cell))
+    side = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"))
+    boxes = boxes.withColumn("_class", geo.size_class(side, 16))
+    classes = sorted(r["_class"] for r in boxes.select("_class").distinct().collect() if r["_class"] is not None)  # at most geo.CLASSES
+    boxes = boxes.withColumn("_cell", F.explode(geo.cells_of_class(F.col("_class"), classes, (F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), F.col("max_lon")))))
+    points = df.select(TRAJ, LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).withColumn("_cell", F.explode(geo.cells_of_point(F.col(LAT), F.col(LON), classes)))
     met = points.join(boxes, "_cell").where(F.col(LAT).between(F.col("min_lat"), F.col("max_lat")) & F.col(LON).between(F.col("min_lon"), F.col("max_lon")))
     return met.select(column, TRAJ).distinct().groupBy(column, species_of_id(F.col(TRAJ)).alias("Species")).agg(F.count("*").alias("n"))
 
@@ -81,24 +83,29 @@ def pasture_stats(habitat: DataFrame, column: str = "CowPast", averages: tuple[s
     return habitat.where(F.col(column).isNotNull()).groupBy(column).agg(*(F.avg(c).alias(f"mean_{c}") for c in averages), F.count_if(F.col("DistEWat") == 0).alias("n_water"))
 
 
-def pasture_areas(habitat: DataFrame, column: str = "CowPast", order: str = "vertex_no") -> DataFrame:
-    """``{column}, area``: Web Mercator area of each polygon in units of 1e7 m2 (shoelace over vertices in ``order``).
+def pasture_areas(habitat: DataFrame, column: str = "CowPast", order: str = "vertex_no", polygon: tuple[str, ...] = ("region_id", "ring"), hole: str | None = "ring") -> DataFrame:
+    """``{column}, area``: Web Mercator area of each pasture in units of 1e7 m2: its outer rings (shoelace over vertices in
+    ``order``) less their holes (``hole`` > 0). Columns of ``polygon`` that are absent are left out. Edges go the short
+    way round, also over the 180th meridian.
 
     The sum needs only successive vertices, so it is a window and a partial sum rather than an array per polygon.
     """
     need(habitat, column, order, LAT, LON)
-    x, y = geo.mercator(F.col(LAT).cast("double"), F.col(LON).cast("double"))
-    v = habitat.where(F.col(column).isNotNull()).select(column, F.col(order).alias("_o"), x.alias("_x"), y.alias("_y"))
-    w = Window.partitionBy(column).orderBy("_o", "_x", "_y")
+    keys = [column, *(c for c in polygon if c in habitat.columns and c != column)]
+    _, y = geo.mercator(F.col(LAT).cast("double"), F.lit(0.0))
+    lon = F.col(LON).cast("double")
+    known = habitat.where(F.col(column).isNotNull() & F.col(LAT).isNotNull() & F.col(LON).isNotNull())
+    v = known.select(*keys, F.col(order).alias("_o"), lon.alias("_lon"), y.alias("_y"))
+    w = Window.partitionBy(*keys).orderBy("_o", "_lon", "_y")
     whole = w.rowsBetween(Window.unboundedPreceding, 0)
-    last = F.lead("_x").over(w).isNull()
-    nx = F.coalesce(F.lead("_x").over(w), F.first("_x").over(whole))
-    ny = F.coalesce(F.lead("_y").over(w), F.first("_y").over(whole))
-    # relative to the first vertex, which keeps digits
-    x0, y0 = F.first("_x").over(whole), F.first("_y").over(whole)
-    term = (F.col("_x") - x0) * (ny - y0) - (nx - x0) * (F.col("_y") - y0)
-    del last
-    return v.withColumn("_term", term).groupBy(column).agg((F.abs(F.sum("_term")) / 2 / 1e7).alias("area"))
+    step = F.col("_lon") - F.lag("_lon").over(w)
+    # metres east of the first vertex, along the edges
+    v = v.withColumn("_east", F.coalesce(F.pmod(step + 180, F.lit(360.0)) - 180, F.lit(0.0))).withColumn("_x", F.radians(F.sum("_east").over(whole)) * 6378137.0)
+    nx, ny = F.coalesce(F.lead("_x").over(w), F.lit(0.0)), F.coalesce(F.lead("_y").over(w), F.first("_y").over(whole))
+    y0 = F.first("_y").over(whole)
+    rings = v.withColumn("_term", F.col("_x") * (ny - y0) - nx * (F.col("_y") - y0)).groupBy(*keys).agg((F.abs(F.sum("_term")) / 2 / 1e7).alias("_area"))
+    signed = F.when(F.col(hole) > 0, -F.col("_area")).otherwise(F.col("_area")) if hole in keys else F.col("_area")
+    return rings.groupBy(column).agg(F.sum(signed).alias("area"))
 
 
 def trajectory_map(df: DataFrame, traj_ids: list[str] | None = None) -> DataFrame:

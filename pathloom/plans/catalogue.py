@@ -157,6 +157,8 @@ add(
 )
 
 add("kinematic_all_chunked", lambda s, d: L.generate_kinematic_features_chunked(points(s, d), 7 * 86400).select("row_id", *(r(f, *ROUND[f]) for f in FEATURES)), ORACLES["kinematic_all"])
+# every trajectory of more than 30 points is a giant
+add("kinematic_all_even", lambda s, d: K.generate_kinematic_features(points(s, d), giant=30).select("row_id", *(r(f, *ROUND[f]) for f in FEATURES)), ORACLES["kinematic_all"])
 
 # --- aggregates ----------------------------------------------------------------------------------------------------
 add("bounding_box", lambda s, d: A.bounding_box(points(s, d)), f"WITH {PTS} SELECT min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM pts")
@@ -281,7 +283,14 @@ def kinematic_stats_segmented(s: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_stats(s: SparkSession, d: str) -> DataFrame:
-    wide = S.pivot_stats_df(S.generate_kinematic_stats(points(s, d), "event_type"), "event_type")
+    return _pivoted(S.generate_pivoted_stats(points(s, d), "event_type"))
+
+
+def pivot_of_long_stats(s: SparkSession, d: str) -> DataFrame:
+    return _pivoted(S.pivot_stats_df(S.generate_kinematic_stats(points(s, d), "event_type"), "event_type"))
+
+
+def _pivoted(wide: DataFrame) -> DataFrame:
     return wide.select("traj_id", *(r(f"{st}_{f}", ROUND[f][0], 3, f"{st}_{f}".replace("%", "p")) for f in FEATURES for st in S.STATS), "event_type")
 
 
@@ -294,12 +303,25 @@ def _pivot_sql() -> str:
 add("kinematic_stats", kinematic_stats, _stats_sql("pts", ["traj_id"]))
 add("kinematic_stats_segmented", kinematic_stats_segmented, _stats_sql("segs", ["traj_id", "seg_id"]))
 add("pivot_stats", pivot_stats, _pivot_sql())
+add("pivot_of_long_stats", pivot_of_long_stats, _pivot_sql())
 add(
     "describe_column", lambda s, d: S.describe_column(points(s, d), "value").select("count", *(r(c, digits=6, alias=c.replace("%", "p")) for c in ("mean", "std", "min", "max", *S.PERCENTS))),
     f"WITH {PTS} SELECT count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, "
     + ", ".join(f'round(quantile_cont(value, {p}), 6) AS "{n.replace("%", "p")}"' for n, p in S.PERCENTS.items()) + " FROM pts",
 )
-add("feature_importance", lambda s, d: S.feature_importance(K.generate_kinematic_features(points(s, d)), "event_type"))
+def importance(s: SparkSession, d: str) -> DataFrame:
+    """Of the ten features of each point for its event type."""
+    return S.feature_importance(K.generate_kinematic_features(points(s, d)), "event_type")
+
+
+def importance_pivoted(s: SparkSession, d: str) -> DataFrame:
+    """The ten statistics that tell most about a trajectory's label."""
+    wide = S.generate_pivoted_stats(points(s, d), "event_type")
+    return S.feature_importance(wide, "event_type", tuple(f"{st}_{f}" for f in FEATURES for st in S.STATS), bins=4, top=10)
+
+
+add("feature_importance", lambda s, d: importance(s, d).select("feature", r("mutual_information", digits=9)))
+add("feature_importance_pivoted", lambda s, d: importance_pivoted(s, d).select("feature", r("mutual_information", digits=9)))
 
 
 # --- interpolation -------------------------------------------------------------------------------------------------
@@ -330,7 +352,14 @@ def _kinematic_sql(t: str) -> str:
 add("interpolate_kinematic", _filled("kinematic"), _kinematic_sql(f"{RATE}::DOUBLE"))
 add("interpolate_kinematic_compat", _filled("kinematic", compat=True), _kinematic_sql(f"(date_diff('microsecond', TIMESTAMP '1970-01-01', {_AT}) / 1e6::DOUBLE / 1e10::DOUBLE)"))
 add("interpolate_cubic", _filled("cubic"))
-add("interpolate_random_walk", _filled("random-walk"))
+_U = lambda k: f"((('0x' || substr(md5(concat_ws('|', traj_id, '42', '{k}')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
+_N = lambda k: f"(sqrt(-2 * ln({_U(k)})) * cos(2 * pi() * {_U(k + 1)}))"
+add(
+    "interpolate_random_walk", _filled("random-walk"),
+    f"""WITH {PTS}, {_GAPS}, {features()}, stat AS (SELECT traj_id, count(*) AS n, avg("Distance") AS md, stddev_samp("Distance") AS sd, avg("Bearing") AS mb, stddev_samp("Bearing") AS sb FROM feat GROUP BY traj_id),
+draw AS (SELECT traj_id, md + sd * {_N(0)} AS a, radians(mb + sb * {_N(2)}) AS b FROM stat WHERE n > 3 AND sd IS NOT NULL AND sb IS NOT NULL)
+{_KEPT} SELECT traj_id, {_AT}, round(la0 + degrees(a * cos(b) / 6371000), 6), round(lo0 + degrees(a * sin(b) / 6371000) / cos(radians(la0)), 6), label FROM g1 JOIN draw USING (traj_id) WHERE dt > {RATE}""",
+)
 
 # --- context -------------------------------------------------------------------------------------------------------
 POIS = "pois AS (SELECT s_suppkey, 40.0::DOUBLE + (s_suppkey % 10)::DOUBLE / 10.0::DOUBLE AS lat, -75.0::DOUBLE + (s_suppkey % 13)::DOUBLE / 10.0::DOUBLE AS lon, abs(s_acctbal) AS far, s_nationkey FROM supplier)"
@@ -346,9 +375,11 @@ add(
 _HALVES = " AND ".join(f"({x2 - x1}::DOUBLE * (lat - {y1}::DOUBLE) - {y2 - y1}::DOUBLE * (lon - ({x1}::DOUBLE)) >= 0)" for (x1, y1), (x2, y2) in zip(POLYGON, POLYGON[1:] + POLYGON[:1]))
 add("inside_polygon", lambda s, d: C.trajectories_inside_polygon(points(s, d), POLYGON).select("row_id"), f"WITH {PTS} SELECT row_id FROM pts WHERE {_HALVES}")
 add(
-    "intersect_in_polygon", lambda s, d: C.traj_intersect_inside_polygon(coarse(s, d).where("traj_id = '1'"), coarse(s, d).where("traj_id = '14'"), POLYGON),
-    f"""WITH {COARSE}, i AS (SELECT * FROM coarse WHERE {_HALVES}) SELECT a.traj_id AS traj_id_1, a."DateTime" AS "DateTime_1", a.lat, a.lon, b.traj_id AS traj_id_2, b."DateTime" AS "DateTime_2"
-FROM i a JOIN i b ON a.lat = b.lat AND a.lon = b.lon WHERE a.traj_id = '1' AND b.traj_id = '14'""",
+    "intersect_in_polygon", lambda s, d: C.shared_places(coarse(s, d).where("event_type = 'click'"), coarse(s, d).where("event_type <> 'click'"), POLYGON),
+    f"""WITH {COARSE}, i AS (SELECT * FROM coarse WHERE {_HALVES}),
+a AS (SELECT lat, lon, count(*) AS points_1, count(DISTINCT traj_id) AS trajectories_1 FROM i WHERE event_type = 'click' GROUP BY lat, lon),
+b AS (SELECT lat, lon, count(*) AS points_2, count(DISTINCT traj_id) AS trajectories_2 FROM i WHERE event_type <> 'click' GROUP BY lat, lon)
+SELECT lat, lon, points_1, points_2, trajectories_1, trajectories_2 FROM a JOIN b USING (lat, lon)""",
 )
 add(
     "nearest_poi", lambda s, d: C.nearest_poi(pois(s, d).withColumn("tags", F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string"))), (40.52, -74.48), 60000.0, {"nation": True}).select("s_suppkey", r("Distance", digits=4)),
@@ -361,14 +392,14 @@ FROM i a JOIN i b ON a.lat = b.lat AND a.lon = b.lon WHERE a.traj_id < b.traj_id
 )
 
 # --- views ---------------------------------------------------------------------------------------------------------
+_HERD = PTS + """, herd AS (SELECT * REPLACE (concat(traj_id, ['D', 'E', 'C'][CAST(traj_id AS INTEGER) % 3 + 1]) AS traj_id) FROM pts)"""
 _SPECIES = "CASE WHEN contains(traj_id, 'D') THEN 'Deer' WHEN contains(traj_id, 'E') THEN 'Elk' ELSE 'Cattle' END"
 add(
-    "daily_distance", lambda s, d: V.trajectory_distance_treemap(points(s, d)).select("traj_id", r("Distance", digits=3), "days", r("daily_distance", digits=3), "Species"),
-    f"""WITH {PTS}, {features()}, t AS (SELECT traj_id, coalesce(sum("Distance"), 0) AS x, CAST(floor(date_diff('microsecond', min("DateTime"), max("DateTime")) / 86400e6::DOUBLE) AS INTEGER) AS days FROM feat GROUP BY traj_id)
+    "daily_distance", lambda s, d: V.trajectory_distance_treemap(herd(s, d)).select("traj_id", r("Distance", digits=3), "days", r("daily_distance", digits=3), "Species"),
+    f"""WITH {_HERD}, {features("herd")}, t AS (SELECT traj_id, coalesce(sum("Distance"), 0) AS x, CAST(floor(date_diff('microsecond', min("DateTime"), max("DateTime")) / 86400e6::DOUBLE) AS INTEGER) AS days FROM feat GROUP BY traj_id)
 SELECT traj_id, round(x, 3) AS "Distance", days, round(x / nullif(days, 0), 3) AS daily_distance, {_SPECIES} AS "Species" FROM t""",
 )
 WATER_M = 3000.0
-_HERD = PTS + """, herd AS (SELECT * REPLACE (concat(traj_id, ['D', 'E', 'C'][CAST(traj_id AS INTEGER) % 3 + 1]) AS traj_id) FROM pts)"""
 _PAST = """past AS (SELECT lat, lon, concat('pasture ', s_suppkey % 7) AS "CowPast", CASE WHEN s_nationkey % 3 = 0 THEN 'WR' ELSE 'GR' END AS "EcoGener", CAST(s_suppkey % 2 AS DOUBLE) AS "DistEWat" FROM pois)"""
 _BOXES = f"""water AS (SELECT DISTINCT lat, lon FROM past WHERE "EcoGener" = 'WR' AND "DistEWat" = 0),
 boxes AS (SELECT lat - degrees({WATER_M}::DOUBLE / 6371000) AS a, lat + degrees({WATER_M}::DOUBLE / 6371000) AS c,
@@ -390,22 +421,34 @@ add(
     f"""WITH {_HERD}, {POIS}, {_PAST}, b AS (SELECT "CowPast", min(lat) AS a, min(lon) AS b, max(lat) AS c, max(lon) AS d FROM past GROUP BY ALL)
 SELECT "CowPast", {_SPECIES} AS "Species", count(DISTINCT traj_id) AS n FROM herd JOIN b ON herd.lat BETWEEN a AND c AND herd.lon BETWEEN b AND d GROUP BY ALL""",
 )
-add(
-    "area_stats", lambda s, d: V.pasture_stats(habitat(s, d), averages=("DistEWat",)).select("CowPast", r("mean_DistEWat"), "n_water"),
-    'SELECT "CowPast", round(avg("DistEWat"), 6) AS "mean_DistEWat", count(*) FILTER ("DistEWat" = 0) AS n_water FROM habitat WHERE "CowPast" IS NOT NULL GROUP BY ALL',
-)
+_LAND = "land AS (SELECT *, lat - floor(lat) AS \"Canopy\", abs(lon) * 10 AS \"Elev\", CAST(vertex_no AS DOUBLE) AS \"DistOPEN\" FROM habitat)"
 
 
-def area_polygon(s: SparkSession, d: str) -> DataFrame:
-    outer = habitat(s, d).where("ring = 0").withColumn("name", F.col("region_id").cast("string"))
-    return V.pasture_areas(outer, "name").select("name", r("area", digits=3))
+def area_stats(s: SparkSession, d: str) -> DataFrame:
+    land = habitat(s, d).withColumns({"Canopy": F.col("lat") - F.floor("lat"), "Elev": F.abs("lon") * 10, "DistOPEN": F.col("vertex_no").cast("double")})
+    return V.pasture_stats(land).select("CowPast", r("mean_Canopy", digits=4), r("mean_Elev", digits=3), r("mean_DistOPEN", digits=4), "n_water")
 
 
 add(
-    "area_polygon", area_polygon,
-    """WITH v AS (SELECT CAST(region_id AS VARCHAR) AS name, vertex_no, radians(lon) * 6378137 AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 AS y FROM habitat WHERE ring = 0),
-n AS (SELECT *, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY name ORDER BY vertex_no, x, y))
-SELECT name, round(abs(sum((x - x0) * (coalesce(y1, y0) - y0) - (coalesce(x1, x0) - x0) * (y - y0))) / 2 / 1e7::DOUBLE, 3) AS area FROM n GROUP BY name""",
+    "area_stats", area_stats,
+    f"""WITH {_LAND} SELECT "CowPast", round(avg("Canopy"), 4) AS "mean_Canopy", round(avg("Elev"), 3) AS "mean_Elev", round(avg("DistOPEN"), 4) AS "mean_DistOPEN",
+count(*) FILTER ("DistEWat" = 0) AS n_water FROM land WHERE "CowPast" IS NOT NULL GROUP BY ALL""",
+)
+
+
+# edges go the short way round, also over the 180th meridian; holes are taken off
+_AREAS = """WITH v AS (SELECT *, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 AS y, lon - lag(lon) OVER w AS d FROM habitat WINDOW w AS (PARTITION BY region_id, ring ORDER BY vertex_no, lon)),
+e AS (SELECT *, radians(sum(coalesce(d + 180 - 360 * floor((d + 180) / 360) - 180, 0)) OVER w) * 6378137 AS x FROM v WINDOW w AS (PARTITION BY region_id, ring ORDER BY vertex_no, lon)),
+n AS (SELECT *, first_value(y) OVER w AS y0, lead(x, 1, 0) OVER w AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM e WINDOW w AS (PARTITION BY region_id, ring ORDER BY vertex_no, lon)),
+rings AS (SELECT region_id, "CowPast", ring, abs(sum(x * (y1 - y0) - x1 * (y - y0))) / 2 / 1e7::DOUBLE AS a FROM n GROUP BY ALL)
+"""
+add(
+    "area_polygon", lambda s, d: V.pasture_areas(habitat(s, d).withColumn("name", F.col("region_id").cast("string")), "name").select("name", r("area", digits=3)),
+    _AREAS + "SELECT CAST(region_id AS VARCHAR) AS name, round(sum(CASE WHEN ring > 0 THEN -a ELSE a END), 3) AS area FROM rings GROUP BY ALL",
+)
+add(
+    "area_pasture", lambda s, d: V.pasture_areas(habitat(s, d)).select("CowPast", r("area", digits=3)),
+    _AREAS + 'SELECT "CowPast", round(sum(CASE WHEN ring > 0 THEN -a ELSE a END), 3) AS area FROM rings WHERE "CowPast" IS NOT NULL GROUP BY ALL',
 )
 add("map_bounds", lambda s, d: V.trajectory_map(points(s, d)), f"WITH {PTS} SELECT traj_id, count(*) AS n, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM pts GROUP BY traj_id")
 add("map_lines", lambda s, d: V.trajectory_lines(points(s, d), ["1", "7", "14"]), f"WITH {PTS} SELECT traj_id, row_number() OVER {W} AS position, lat, lon FROM pts WHERE traj_id IN ('1', '7', '14')")

@@ -1,7 +1,7 @@
 """A chained form of the operators: ``Trajectories(df).filter_by_date(...).create_speed_column().df``.
 
 Every operator that takes and returns a DataFrame is a method; results that are not tables come back as they are.
-The chain stays one lazy plan.
+Most operators only add to the plan; those that need counts, samples or blocks first (README) run jobs when called.
 """
 
 from __future__ import annotations
@@ -48,6 +48,28 @@ class Trajectories:
 
         return call
 
+    @property
+    def latitude(self) -> DataFrame:
+        return self.df.select(schema.LAT)
+
+    @property
+    def longitude(self) -> DataFrame:
+        return self.df.select(schema.LON)
+
+    @property
+    def datetime(self) -> DataFrame:
+        return self.df.select(schema.TIME)
+
+    @property
+    def traj_id(self) -> DataFrame:
+        return self.df.select(schema.TRAJ)
+
+    def set_default_index(self) -> Trajectories:
+        """Trajectory and time first, then the other columns; the tie-break column is added if absent."""
+        df = schema.ordered(self.df)
+        keys = [schema.TRAJ, schema.TIME]
+        return Trajectories._of(df.select(*keys, *(f"`{c}`" for c in df.columns if c not in keys)))
+
     def __str__(self) -> str:
         f = aggregates.dataset_facts(self.df).first()
         return (

@@ -1,7 +1,7 @@
 """Reading and writing point tables.
 
-Loaders take a path: a file, a folder or a glob of CSV (or Parquet) in any file system that Spark reads. Schemas are
-given, not inferred, where the columns are known, so nothing is scanned twice.
+Loaders take a path: a file, a folder or a glob of CSV (or Parquet) in any file system that Spark reads. A given schema
+spares the pass that infers one; trajectory ids are text in either case.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pathloom.schema import as_trajectories
 
@@ -43,8 +44,16 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).option("preferDate", False).csv(path)
 
 
+def _as_text(df: DataFrame, spark: SparkSession, path: str, column: str) -> DataFrame:
+    """A CSV table again, with a column as it is written: an id such as 910313E37 is no number."""
+    fields = [StructField(f.name, StringType() if f.name == column else f.dataType) for f in df.schema]
+    return spark.read.option("header", True).schema(StructType(fields)).csv(path)
+
+
 def read_trajectories(spark: SparkSession, path: str, latitude: str = "lat", longitude: str = "lon", datetime: str = "DateTime", traj_id: str = "traj_id", schema: str | None = None, drop_missing: bool = False) -> DataFrame:
     df = read_table(spark, path, schema)
+    if not schema and not path.rstrip("/").endswith(".parquet") and traj_id in df.columns and dict(df.dtypes)[traj_id] != "string":
+        df = _as_text(df, spark, path, traj_id)
     return as_trajectories(df.na.drop("any") if drop_missing else df, latitude, longitude, datetime, traj_id)
 
 
@@ -84,7 +93,9 @@ def load_starkey_habitat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; times keep their microseconds (Spark's default format has milliseconds)."""
+    micro = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.mode(mode).option("header", True).option("timestampNTZFormat", micro).option("timestampFormat", micro + "XXX").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:

@@ -336,6 +336,61 @@ def test_views(spark):
     assert [r["position"] for r in V.trajectory_lines(df, ["88D1"]).orderBy("position").collect()] == [1, 2]
 
 
+def test_csv_ids_stay_text_and_times_keep_microseconds(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    df = spark.createDataFrame([(1.5, 2.5, t, "910313E37"), (1.0, None, t, "880109E01")], "lat double, long double, DateTime timestamp_ntz, traj_id string")
+    io.write_csv(df, f"{tmp_path}/t.csv")
+    got = io.load_starkey(spark, f"{tmp_path}/t.csv").collect()
+    assert {r["traj_id"] for r in got} == {"910313E37", "880109E01"} and all(r["DateTime"] == t for r in got)
+
+
+def test_shared_places_count_what_the_pairs_spell_out(spark):
+    rng = np.random.default_rng(3)
+    make = lambda n: points(spark, [(str(rng.integers(0, 4)), int(rng.integers(0, 9)), float(rng.integers(0, 3)), float(rng.integers(0, 3))) for _ in range(n)])
+    a, b, square = make(40), make(30), [(-1.0, -1.0), (1.5, -1.0), (1.5, 1.5), (-1.0, 1.5)]
+    pairs = C.traj_intersect_inside_polygon(a, b, square).collect()
+    got = {(r["lat"], r["lon"]): r for r in C.shared_places(a, b, square).collect()}
+    assert {(r["lat"], r["lon"]) for r in pairs} == set(got)
+    for at, r in got.items():
+        mine = [p for p in pairs if (p["lat"], p["lon"]) == at]
+        assert len(mine) == r["points_1"] * r["points_2"]
+        assert (len({p["traj_id_1"] for p in mine}), len({p["traj_id_2"] for p in mine})) == (r["trajectories_1"], r["trajectories_2"])
+    assert C.shared_places(a.limit(0), b, square).count() == 0
+
+
+def test_wide_and_small_places_together(spark):
+    """One ring of 2,000 km among rings of 100 m; results are those of plain loops."""
+    rng = np.random.default_rng(7)
+    p = points(spark, [(str(i % 3), i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-1, 1, 300), rng.uniform(-1, 1, 300)))] + [("n", 1, None, 1.0), ("far", 2, 0.0, 17.98)])
+    s = spark.createDataFrame([(0.0, 0.0, 2_000_000.0)] + [(float(a), float(o), 100.0) for a, o in rng.uniform(-1, 1, (50, 2))] + [(None, 1.0, 5.0), (1.0, 1.0, None)], "lat double, lon double, d double")
+    from pathloom.functions.npgeo import haversine_m
+
+    got = {r["row_id"]: r["Nearby_POI"] for r in C.visited_poi(p, s, "d", 3000.0).collect()}
+    places = [r for r in s.collect() if None not in r]
+    for r in p.collect():
+        want = r["lat"] is not None and any(abs(q["d"] - haversine_m(r["lat"], r["lon"], q["lat"], q["lon"])) <= 3000 for q in places)
+        assert got[r["row_id"]] == want
+    assert got[301] and C.visited_poi(p, s.limit(0), "d", 1.0).where("Nearby_POI").count() == 0
+
+
+def test_importance_uses_the_same_rows_for_all_features(spark):
+    rng = np.random.default_rng(2)
+    data = [(float(a), float(b) if i % 5 else None, "x" if a > 0 else "y") for i, (a, b) in enumerate(rng.normal(0, 1, (400, 2)))] + [(1.0, float("nan"), "x"), (1.0, 1.0, None)]
+    df = spark.createDataFrame(data, "a double, b double, label string")
+    got = [(r["feature"], r["mutual_information"]) for r in S.feature_importance(df, "label", ("a", "b"), top=2).collect()]
+    n = sum(1 for i in range(400) if i % 5)
+    kept = [d for i, d in enumerate(data[:400]) if i % 5]
+    share = sum(d[2] == "x" for d in kept) / n
+    assert [f for f, _ in got] == ["a", "b"] and got[0][1] == pytest.approx(-share * math.log(share) - (1 - share) * math.log(1 - share), abs=0.08) and got[1][1] < 0.1
+    assert S.feature_importance(df.where("a IS NULL"), "label", ("a", "b")).count() == 0
+
+
+def test_accessors(walk):
+    t = Trajectories(walk)
+    assert (t.latitude.columns, t.longitude.columns, t.datetime.columns, t.traj_id.columns) == (["lat"], ["lon"], ["DateTime"], ["traj_id"])
+    assert t.set_default_index().df.columns == ["traj_id", "DateTime", "row_id", "lat", "lon"]
+
+
 def test_sources_and_chain(spark, tmp_path):
     csv = tmp_path / "ships.csv"
     csv.write_text("Lat,Lon,DateTime,VesselName,x\n1.5,2.5,2024-01-01 10:00:00,Ada,1\n1.6,2.5,2024-01-01 11:00:00,Ada,\n1.7,2.5,2024-01-01 12:00:00,Ada,3\n")

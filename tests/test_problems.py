@@ -47,6 +47,44 @@ def test_near_on_map_edges_and_in_a_crowd(spark):
     assert sum(r[0] == "near" for r in want) > 10_000
 
 
+def test_one_persons_crowd_is_copied_once(spark):
+    """A place full of one person's points: shares of their own, none paired with each other; what others have is found."""
+    from pathloom.functions.spindex import Quadtree
+
+    n = 4000
+    rng = np.random.default_rng(4)
+    y, x = 10 + rng.normal(0, 1e-5, n), 20 + rng.normal(0, 1e-5, n)
+    who = np.where(np.arange(n) % 100 == 0, "guest", "host")
+    tree = Quadtree(x, y, 1.0, 100, 2e-3, who=who)
+    assert len(tree.pure) == 1 and tree.mixed.max() == 1
+    (cell, person), (first, own) = next(iter(tree.pure.items()))
+    assert person == "host" and tree.shares[cell] - own == 1  # the host's points go to one task each
+    p = pd.DataFrame({"point_id": np.arange(n), "id": np.where(who == "host", 1, 2 + np.arange(n) % 3), "lat": y, "lon": x})
+    got = rows(spatial.near_and_inside(spark.createDataFrame(p), spark.createDataFrame([], "region_id long, ring int, vertex_no int, lat double, lon double"), capacity=100), "relation", "a_id", "b_id")
+    h = pd.DataFrame({"region_id": [], "ring": [], "vertex_no": [], "lat": [], "lon": []})
+    assert len(got) == len(set(got)) and set(got) == brute.near_and_inside(p, h)
+
+
+def test_checkpoints_do_not_stay(spark):
+    import gc
+    import os
+    import time
+
+    from pathloom.operators.blocks import shared_folder
+
+    at = shared_folder(spark).removeprefix("file:")
+    held = lambda: {f"{d}/{r}" for d, dirs, _ in os.walk(at) for r in dirs if r.startswith("rdd-")}
+    before = held()
+    assert regrid.regular_grid(spark.read.parquet(f"{D}/storm_readings.parquet")).count() > 0
+    for _ in range(40):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+        if not held() - before:
+            break
+    assert not held() - before
+
+
 @pytest.mark.parametrize("per_block", [150_000, 60])
 def test_implausible(spark, per_block):
     df = spark.read.parquet(f"{D}/car_features.parquet")
