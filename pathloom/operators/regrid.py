@@ -9,7 +9,8 @@ The table lies in even blocks by (source, time). Each block sums up its first an
 readings make of the state before them (a conditional Gaussian) and how likely they are given it. The driver combines
 these in order, so a block starts from the filter's state after all earlier readings of its source and ends with the
 likelihood of all later ones, however dense they are; a period cut by a block's edge is counted the same way. All
-sources of a block are smoothed side by side in numpy, step by step.
+sources of a block are smoothed side by side in numpy, step by step; a long source is cut into pieces that are smoothed
+side by side, so a block with one source costs no more steps than one with hundreds.
 
 Defined results: rows without source, time or one of the coordinates (null, NaN) are no readings; readings of
 one source at one time count with their mean; a source with one reading gives one period; an empty table none.
@@ -147,6 +148,51 @@ def smooth(
     return out, np.maximum(var, 0.0)
 
 
+LONG, PIECE = 1024, 256  # steps from which one source is cut, and steps of a piece
+
+
+def smooth_long(hours: np.ndarray, y: np.ndarray, process: float, noise: float, before: tuple | None = None, after: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``smooth`` of one long source (``hours``: steps, ``y``: steps x coordinates), by pieces side by side.
+
+    All pieces are summed up at once, as blocks are; the sums give each piece the filter's state before it and the
+    likelihood of what follows, and then all pieces are smoothed at once.
+    """
+    m = len(hours)
+    n = -(-m // PIECE)
+    seen = ~np.isnan(y[:, 0])
+    e = _combine(_moved(np.diff(hours, prepend=hours[:1]), process), _read(np.where(seen[:, None], y, 0.0), noise))
+    rest = _moved(np.diff(hours, prepend=hours[:1]), process)
+    e = tuple(np.where(seen[:, None, None], a, b) for a, b in zip(e, rest))
+    nothing = _moved(np.zeros(1), process)
+    sums = tuple(np.concatenate([x, np.repeat(z, n * PIECE - m, axis=0)]).reshape(n, PIECE, 2, 2) for x, z in zip(e, nothing))
+    while sums[0].shape[1] > 1:  # neighbours meet
+        left, right = (tuple(x[:, k::2].reshape(-1, 2, 2) for x in sums) for k in (0, 1))
+        sums = tuple(x.reshape(n, -1, 2, 2) for x in _combine(left, right))
+    of = lambda p: tuple(x[p] for x in sums)
+    zero = np.zeros((1, 2, 2))
+    if before is None:
+        mean = np.zeros((1, 2, 2))
+        mean[0, :, 0] = y[np.argmax(seen)] if seen.any() else 0.0
+        before = (mean[0], _PRIOR)
+    states, state = [before], (zero, np.asarray(before[0])[None], np.asarray(before[1])[None], zero, zero)
+    for p in range(n - 1):
+        state = _combine(state, of(p))
+        states.append((state[1][0], state[2][0]))
+    ends, follow = [None] * n, after
+    for p in range(n - 1, -1, -1):
+        ends[p] = follow
+        own = of(p) if follow is None else _combine(of(p), (zero, zero, zero, follow[0][None], follow[1][None]))
+        follow = (own[3][0], own[4][0])
+    at = np.minimum(np.arange(n)[:, None] * PIECE + np.arange(-1, PIECE), m - 1)
+    at[0, 0] = 0  # each piece begins at the last step before it, whose state is known
+    valid = np.arange(n)[:, None] * PIECE + np.arange(-1, PIECE) < m
+    values = y[at]
+    values[:, 0] = np.nan
+    out, var = smooth(hours[at], np.where(valid[:, :, None], values, np.nan), valid, process, noise, [(p, *s) for p, s in enumerate(states)], [(p, *f) for p, f in enumerate(ends) if f is not None])
+    keep = valid[:, 1:]
+    return out[:, 1:][keep], var[:, 1:][keep]
+
+
 def regular_grid(
     df: DataFrame,
     period_s: int = 21600,
@@ -252,6 +298,13 @@ def regular_grid(
         by_len = np.argsort(length, kind="stable")
         p = 0
         while p < n:
+            if length[by_len[p]] > LONG:
+                i = int(by_len[p])
+                line = slice(base[i], base[i] + length[i])
+                est[line], got = smooth_long((t_o[line] - t_o[base[i]]) / 3.6e9, val[line], process, noise, entry[1:] if entry and i == 0 else None, after.get(number) if i == n - 1 else None)
+                sd[line] = np.sqrt(got)
+                p += 1
+                continue
             q = p + 1
             while q < n and length[by_len[q]] <= 1.5 * length[by_len[p]] + 8 and (q - p) * length[by_len[q]] < 400_000:
                 q += 1

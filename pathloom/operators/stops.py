@@ -13,8 +13,8 @@
    dwell or, where dwells overlap, a dwell cut at its rival's edge; all predecessors compete (those that cannot win
    any more are passed over by a bound). What is no stop for certain (a single dwell without rival is one by
    definition) is decided by it.
-4. Parts of components that touch a block's edge (at most ``max_elsewhere + 1`` per side and block) reach the driver
-   with their convex hulls and are joined there. A joined component that fits the circle and overlaps no other dwell
+4. Parts of components that touch a block's edge (at most ``max_elsewhere + 1`` per side and block), and dwells whose
+   pings lie between theirs, reach the driver with their convex hulls and are joined there. A joined component that fits the circle and overlaps no other dwell
    is a stop. The pings of all others are brought together, one group per stretch of overlapping components, and cut
    and decoded by the same functions as inside a block, so results do not depend on where blocks are cut.
 5. Silences over ``session_gap_s`` split sessions before path totals. Path lengths are differences of a running
@@ -472,7 +472,7 @@ def stops_and_trips(
         return frame
 
     events = reliable(blocks.map(work, _EVENT))
-    pieces = events.where(F.col("kind") == _OPEN).orderBy("block", "unit").toPandas()  # 2 reach a block, and the dwells that overlap them
+    pieces = events.where(F.col("kind") == _OPEN).orderBy("block", "unit").toPandas()  # 2 reach a block, and the dwells among their pings
     joined, knots = _join_pieces(pieces, radius_m, min_us)
     spark = df.sparkSession
     plain = ["k", "kind", "t0", "t1", "c0", "c1"]

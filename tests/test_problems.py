@@ -390,6 +390,21 @@ def test_grid_of_a_dense_source_in_blocks_equals_the_whole(spark):
             assert r[c] == pytest.approx(w[c], abs=1e-8)
 
 
+@pytest.mark.parametrize("steps", [1, 255, 256, 257, 1500])
+def test_a_long_source_in_pieces_equals_the_whole(steps):
+    rng = np.random.default_rng(steps)
+    t = np.sort(np.round(rng.uniform(0, 400, steps), 1))  # ties as well
+    y = np.c_[np.sin(t / 30), np.cos(t / 30)] + rng.normal(0, 0.02, (steps, 2))
+    y[rng.random(steps) < 0.4] = np.nan
+    y[steps // 2] = 0.5
+    cov = np.array([[0.02, 0.001], [0.001, 0.003]])
+    for before in (None, (np.array([[0.1, 0.01], [0.9, 0.0]]), cov)):
+        for after in (None, (np.array([[3.0, 1.0], [2.0, 0.5]]), np.linalg.inv(cov))):
+            want, var = regrid.smooth(t[None], y[None], np.ones((1, steps), bool), 1e-3, 4e-4, [(0, *before)] if before else None, [(0, *after)] if after else None)
+            got, v = regrid.smooth_long(t, y, 1e-3, 4e-4, before, after)
+            assert np.allclose(got, want[0], atol=1e-7) and np.allclose(v, var[0], atol=1e-8)
+
+
 def test_smoother_against_dense_least_squares():
     """The smoothed mean equals the posterior mean of the same Gaussian model solved densely."""
     t = np.array([0.0, 1.0, 2.5, 3.0, 7.0])
