@@ -117,13 +117,13 @@ def cell_for(widest: float | None, parts: int = 8) -> float:
     return min(max((widest or 0.0) / parts, 0.01), 45.0)
 
 
-CLASSES = 13  # cell sizes 0.01, 0.02, ... 40.96 degrees
+CLASSES, LEAST = 13, 0.01  # cell sizes 0.01, 0.02, ... 40.96 degrees
 
 
 def size_class(width: Column, parts: int = 8) -> Column:
     """Which of ``CLASSES`` cell sizes suits a box of that many degrees: it meets at most about ``parts`` cells a side, so
     a single wide box does not coarsen the grid of all others."""
-    c = F.ceil(F.log2(F.greatest(width, F.lit(1e-9)) / (0.01 * parts)))
+    c = F.ceil(F.log2(F.greatest(width, F.lit(1e-9)) / (LEAST * parts)))
     return F.least(F.greatest(c, F.lit(0)), F.lit(CLASSES - 1)).cast("int")
 
 
@@ -131,11 +131,11 @@ def _classed(cls: int, cells: Column) -> Column:
     return F.transform(cells, lambda c: F.struct(F.lit(cls).alias("cls"), c["cy"].alias("cy"), c["cx"].alias("cx")))
 
 
-def cells_of_class(cls: Column, classes: list[int], box: tuple[Column, Column, Column, Column]) -> Column:
+def cells_of_class(cls: Column, classes: list[int], box: tuple[Column, Column, Column, Column], least: float = LEAST) -> Column:
     """The cells ``struct(cls, cy, cx)`` that a box meets on the grid of its class."""
-    return F.coalesce(*(F.when(cls == c, _classed(c, grid_cells(*box, 0.01 * 2**c))) for c in classes), F.array().cast("array<struct<cls:int,cy:int,cx:int>>"))
+    return F.coalesce(*(F.when(cls == c, _classed(c, grid_cells(*box, least * 2**c))) for c in classes), F.array().cast("array<struct<cls:int,cy:int,cx:int>>"))
 
 
-def cells_of_point(lat: Column, lon: Column, classes: list[int]) -> Column:
+def cells_of_point(lat: Column, lon: Column, classes: list[int], least: float = LEAST) -> Column:
     """The cell of a point on the grid of each class that occurs."""
-    return F.flatten(F.array(*(_classed(c, F.array(grid_cell(lat, lon, 0.01 * 2**c))) for c in classes), F.array().cast("array<struct<cls:int,cy:int,cx:int>>")))
+    return F.flatten(F.array(*(_classed(c, F.array(grid_cell(lat, lon, least * 2**c))) for c in classes), F.array().cast("array<struct<cls:int,cy:int,cx:int>>")))

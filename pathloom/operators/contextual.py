@@ -29,21 +29,23 @@ def visited_location(df: DataFrame, layers: DataFrame, name: str, column: str) -
     return met.withColumn(f"Visited_{name}", F.coalesce("_hit", F.lit(0))).drop("_vla", "_vlo", "_hit")
 
 
-def visited_poi(df: DataFrame, surroundings: DataFrame, dist_column: str, nearby_threshold: float) -> DataFrame:
+def visited_poi(df: DataFrame, surroundings: DataFrame, dist_column: str, nearby_threshold: float, cell: float | None = None) -> DataFrame:
     """``Nearby_POI``: whether some surrounding's distance column differs from its distance to the point by at most the
     threshold. Each surrounding is sent to the cells that its outer ring meets, on the grid of its size class; a point is
-    joined there only, so wide surroundings do not coarsen the search for small ones."""
+    joined there only, so wide surroundings do not coarsen the search for small ones. ``cell``: one size in degrees for all
+    instead."""
     need(df, LAT, LON)
     need(surroundings, LAT, LON, dist_column)
     df = ordered(df)
     s = surroundings.select(F.col(LAT).cast("double").alias("_sla"), F.col(LON).cast("double").alias("_slo"), F.col(f"`{dist_column}`").cast("double").alias("_sd"))
     s = s.where(F.col("_sla").isNotNull() & F.col("_slo").isNotNull() & (F.col("_sd") >= -float(nearby_threshold))).distinct()
-    s = s.withColumn("_class", geo.size_class(2 * (F.col("_sd") + float(nearby_threshold)) / 111_000))
-    classes = sorted(r["_class"] for r in s.select("_class").distinct().collect())  # at most geo.CLASSES
+    s = s.withColumn("_class", F.lit(0) if cell else geo.size_class(2 * (F.col("_sd") + float(nearby_threshold)) / 111_000))
+    classes = [0] if cell else sorted(r["_class"] for r in s.select("_class").distinct().collect())  # at most geo.CLASSES
+    least = cell or geo.LEAST
     box = geo.bounding_box_columns(F.col("_sla"), F.col("_slo"), F.col("_sd") + float(nearby_threshold) + 1e-3)
-    cells = s.withColumn("_cell", F.explode(geo.cells_of_class(F.col("_class"), classes, box)))
+    cells = s.withColumn("_cell", F.explode(geo.cells_of_class(F.col("_class"), classes, box, least)))
     near = F.abs(F.col("_sd") - geo.haversine(F.col(LAT), F.col(LON), F.col("_sla"), F.col("_slo"))) <= float(nearby_threshold)
-    points = df.select(LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).distinct().withColumn("_cell", F.explode(geo.cells_of_point(F.col(LAT), F.col(LON), classes)))
+    points = df.select(LAT, LON).where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).distinct().withColumn("_cell", F.explode(geo.cells_of_point(F.col(LAT), F.col(LON), classes, least)))
     hits = points.join(cells, "_cell").where(near).select(F.col(LAT).alias("_hla"), F.col(LON).alias("_hlo")).distinct().withColumn("_hit", F.lit(True))
     return df.join(hits, (F.col(LAT) == F.col("_hla")) & (F.col(LON) == F.col("_hlo")), "left").withColumn("Nearby_POI", F.coalesce("_hit", F.lit(False))).drop("_hla", "_hlo", "_hit")
 

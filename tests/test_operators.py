@@ -366,7 +366,7 @@ def test_wide_and_small_places_together(spark):
     from pathloom.functions.npgeo import haversine_m
 
     got = {r["row_id"]: r["Nearby_POI"] for r in C.visited_poi(p, s, "d", 3000.0).collect()}
-    places = [r for r in s.collect() if None not in r]
+    places = [r for r in s.collect() if None not in tuple(r)]
     for r in p.collect():
         want = r["lat"] is not None and any(abs(q["d"] - haversine_m(r["lat"], r["lon"], q["lat"], q["lon"])) <= 3000 for q in places)
         assert got[r["row_id"]] == want
