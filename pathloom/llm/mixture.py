@@ -192,7 +192,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     known = known.where(F.col("source").isin(*aims) if aims else F.lit(False)).withColumn("key", F.md5("text"))
     # equal texts meet before they are measured (partial aggregation first, so a text with a third of all rows is one row a task)
     ids = known.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("in"))
-    measured = count_tokens(known.select("key", "text").dropDuplicates(["key"]), ["key"], vocabulary=vocabulary, few=False)
+    measured = count_tokens(known.select("key", "text").dropDuplicates(["key"]), ["key"], vocabulary=vocabulary)
     texts = reliable(ids.join(measured.where("tokens > 0"), "key").withColumns({"place": F.xxhash64(F.col("key"), F.lit(seed)), "pattern": F.col("in.source")}))
     per = {tuple(r["pattern"]): (r["n"], r["d"]) for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n"), F.count("*").alias("d")).collect()}
     flow, size = route({p: n for p, (n, _) in per.items()}, aims, total, keep_shares)
