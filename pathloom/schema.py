@@ -13,6 +13,7 @@ MANDATORY = (LAT, LON, TIME, TRAJ)
 FEATURES = ("Distance", "Distance_from_start", "Speed", "Acceleration", "Jerk", "Bearing", "Bearing_Rate", "Rate_of_bearing_rate")
 
 
+# The names of the errors that follow (all but the base), which callers know.
 class TrajectoryError(ValueError):
     """Base of the library's errors."""
 
