@@ -483,7 +483,7 @@ def stops_and_trips(
 
         def gather(block: pd.DataFrame, number: int) -> pd.DataFrame:
             if number not in knots:
-                return pd.DataFrame({c.split()[0]: [] for c in _KNOT.split(", ")})
+                return pd.DataFrame(columns=[c.split()[0] for c in _KNOT.split(", ")], dtype=object)  # empty columns of floats are no text to Arrow
             k, t, la, lo, cum, _, a, _, _, pieces = parts(block, number)
             units, places = zip(*knots[number].items())
             i = np.concatenate([pieces[u]["i"] for u in units])

@@ -165,6 +165,17 @@ def test_an_uneven_stop_is_one_stop_wherever_blocks_are_cut(spark, per_block):
     assert got == [("stop", "2024-01-01 00:00:00", 240.0 * 204)]
 
 
+@pytest.mark.parametrize("per_block", [1000, 30, 12, 7])
+def test_blocks_without_a_part_in_joined_stretches_give_nothing_to_them(spark, per_block):
+    """A drift cut by blocks' edges is brought together; most blocks have no part in it. A second one holds no stop."""
+    far = 1000 + np.arange(100) * 500.0
+    x = np.r_[np.repeat([0.0, 50.0, 100.0], 12), far, far[-1] + 500 + np.arange(40) * 25.0, 1e5 + far]
+    got = sorted(rows(stops.stops_and_trips(_pings(spark, x), rows_per_block=per_block), "kind", "start_at", "end_at"))
+    want = sorted(rows(stops.stops_and_trips(_pings(spark, x), rows_per_block=10_000), "kind", "start_at", "end_at"))
+    assert [r for r in got if r[0] == "stop"] == [("stop", "2024-01-01 00:00:00", "2024-01-01 01:32:00"), ("stop", "2024-01-01 01:36:00", "2024-01-01 02:20:00")]
+    assert got == want
+
+
 def test_stops_do_not_depend_on_where_blocks_are_cut(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([np.r_[rng.normal(p, 9, rng.integers(3, 30)), p + np.cumsum(rng.uniform(10, 50, rng.integers(0, 6)))] for p in np.cumsum(rng.choice([35.0, 45.0, 70.0, -40.0, 300.0], 60))])
